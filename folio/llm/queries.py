@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op4_bpe
+from . import op4_bpe, op9_repair
 
 
 def queries() -> dict:
     return {
         "op4_bpe": op4_bpe.query,
+        "op9_repair": op9_repair.query,
     }
 
 
