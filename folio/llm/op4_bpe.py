@@ -3,8 +3,10 @@
 A text is cut into pieces by the vocabulary's pattern. Each short piece holds its part boundaries and
 the ranks of adjacent parts in two contiguous lists; the least rank is found by a scan, its boundary is
 deleted and the two neighbouring ranks are refreshed. Pieces beyond ``SHORT`` bytes use a heap over
-linked parts instead, with the same result, so that one huge piece costs n log n. Pieces repeat, so
-their encodings are kept in a bounded table per worker. Decoding gathers token bytes by id.
+linked parts instead, with the same result, so that one huge piece costs n log n. Words repeat, so
+the encodings of space-delimited chunks are kept in two bounded generations per worker: the pattern
+always cuts before a single space between other characters, so such chunks encode alone; texts where
+white space meets white space are cut by the pattern as a whole. Decoding gathers token bytes by id.
 
 Null and empty texts encode to no ids and decode to the empty string. The special token's string in a
 text is that token, as in the tokenizers library's default. Rows stay as they are, repeated ones too;
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,12 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
+from .store import small_batches
 
 #: Fixed value: the pattern that the vocabulary was made with, \\s written as the Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 SHORT = 256
-CACHE_ENTRIES = 600_000
+GENERATION = 350_000
 _NONE = 1 << 60
 
 
@@ -40,6 +44,25 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Gather:
+    """Byte strings by number, joined for a whole array of numbers at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.lengths = np.array([len(b) for b in strings], dtype=np.int32)
+        self.offsets = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        self.flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def join(self, numbers: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """The joined strings of numbers[cuts[i]:cuts[i + 1]] for each i."""
+        lengths = self.lengths[numbers]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        at = np.arange(ends[-1], dtype=np.int32)
+        at += np.repeat(self.offsets[numbers] - ends[:-1].astype(np.int32), lengths)
+        data = self.flat[at].tobytes()
+        places = ends[cuts].tolist()
+        return [data[a:b] for a, b in zip(places, places[1:], strict=False)]
+
+
 class RankBpe:
     """A byte-level BPE vocabulary of the tokenizers library's file format."""
 
@@ -66,10 +89,10 @@ class RankBpe:
             self.made.append(vocab[left + right])
         self.pattern = regex.compile(PATTERN)
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        lengths = np.array([len(b) for b in self.token_bytes], dtype=np.int64)
-        self.lengths, self.offsets = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.flat = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.texts = Gather(self.token_bytes)
+        self.decimals = Gather([f"{i},".encode() for i in range(size)])
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece of the pattern."""
@@ -112,17 +135,32 @@ class RankBpe:
                     heapq.heappush(heap, (q, a, parts[a], parts[b]))
         return [p for p in parts if p >= 0]
 
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        if len(self.pieces) >= CACHE_ENTRIES:
-            self.pieces.clear()
-        ids = self.encode_piece(piece.encode())
-        found = np.array(ids, dtype="<u4").tobytes(), ",".join(map(str, ids)).encode()
-        if len(piece) <= SHORT:
-            self.pieces[piece] = found
+    def _chunk(self, chunk: str) -> bytes:
+        """Encoding of a space and the chunk; KeyError if the chunk isn't cut off by its spaces."""
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise KeyError(chunk)
+        found = self.older.get(chunk) or self._whole(f" {chunk}")
+        if len(chunk) <= SHORT:
+            if len(self.recent) >= GENERATION:
+                self.older, self.recent = self.recent, {}
+            self.recent[chunk] = found
         return found
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and as decimals joined by commas."""
+    def _whole(self, text: str) -> bytes:
+        return array("I", [i for p in self.pattern.findall(text) for i in self.encode_piece(p.encode())]).tobytes()
+
+    def _span(self, text: str) -> list[bytes]:
+        first, *rest = text.split(" ")
+        if first and not first[-1].isspace():
+            known = self.recent.get
+            try:
+                return [self._whole(first), *[known(c) or self._chunk(c) for c in rest]]
+            except KeyError:
+                pass
+        return [self._whole(text)]
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         spans = [text]
         if self.marks is not None and self.marks.search(text):
             spans, at = [], 0
@@ -130,22 +168,13 @@ class RankBpe:
                 spans += [text[at : m.start()], self.special[m.group()]]
                 at = m.end()
             spans.append(text[at:])
-        found: list[tuple[bytes, bytes]] = []
-        known = self.pieces.get
+        found: list[bytes] = []
         for span in spans:
             if isinstance(span, int):
-                found.append((np.array([span], dtype="<u4").tobytes(), str(span).encode()))
+                found.append(array("I", [span]).tobytes())
             elif span:
-                found += [known(p) or self._piece(p) for p in self.pattern.findall(span)]
-        return b"".join([f[0] for f in found]), b",".join([f[1] for f in found])
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the tokens in a row."""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        if not len(ids) or not ends[-1]:
-            return b""
-        return self.flat[np.repeat(self.offsets[ids] - (ends - lengths), lengths) + np.arange(ends[-1])].tobytes()
+                found += self._span(span)
+        return b"".join(found)
 
 
 _LOADED: dict[str, RankBpe] = {}
@@ -172,17 +201,20 @@ def _add(batch: pa.RecordBatch, drop: str, columns: list[tuple[str, pa.Array]])
 def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (binary: little-endian unsigned 32-bit integers), ``n_tokens`` and ``ids_sha256``
     (of the decimal ids joined by commas) to the rows of df; the text column stays."""
+    small_batches(df.sparkSession)
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())]
     kept, schema = _replaced(df, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch, texts in W.chunks(batches, "__text"):
-            found = [bpe.encode(t) if t else (b"", b"") for t in texts]
+            found = [bpe.encode(t) if t else b"" for t in texts]
+            sizes = [len(f) // 4 for f in found]
+            decimals = bpe.decimals.join(np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum([0, *sizes]))
             yield _add(batch, "__text", [
-                ("ids", pa.array([f[0] for f in found], pa.binary())),
-                ("n_tokens", pa.array([len(f[0]) // 4 for f in found], pa.int64())),
-                ("ids_sha256", pa.array([hashlib.sha256(f[1]).hexdigest() for f in found], pa.string())),
+                ("ids", pa.array(found, pa.binary())),
+                ("n_tokens", pa.array(sizes, pa.int64())),
+                ("ids_sha256", pa.array([hashlib.sha256(d[:-1]).hexdigest() for d in decimals], pa.string())),
             ])
 
     return kept.withColumn("__text", F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
@@ -190,6 +222,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded`` (string) to rows with a binary ids column; bytes that are no UTF-8 become U+FFFD."""
+    small_batches(df.sparkSession)
     kept, schema = _replaced(df, [T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +230,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
         for batch, rows in W.chunks(batches, "__ids"):
             sizes = [len(r) // 4 if r else 0 for r in rows]
             flat = np.frombuffer(b"".join([r for r in rows if r]), dtype="<u4")
-            text, lengths = bpe.decode(flat), bpe.lengths[flat]
-            ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *sizes])]
-            out = [text[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            out = [d.decode("utf-8", "replace") for d in bpe.texts.join(flat, np.cumsum([0, *sizes]))]
             yield _add(batch, "__ids", [("decoded", pa.array(out, pa.string()))])
 
     return kept.withColumn("__ids", F.col(f"`{ids}`")).mapInArrow(run, schema)

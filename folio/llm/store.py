@@ -47,5 +47,9 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def small_batches(spark: SparkSession, rows: str = "1000") -> None:
+    """Whole texts go to Python in batches of 1,000 rows unless the session says otherwise: the default
+    of 10,000 would hold tens of MB of text, several times over, for each running task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)

@@ -17,7 +17,7 @@ U64 = np.uint64
 _MUL1, _MUL2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _GOLD = U64(0x9E3779B97F4A7C15)
 _SHIFT30, _SHIFT27, _SHIFT31 = U64(30), U64(27), U64(31)
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
