@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op4_bpe, op9_repair
+from . import op4_bpe, op9_repair, op10_langid
 
 
 def queries() -> dict:
     return {
         "op4_bpe": op4_bpe.query,
         "op9_repair": op9_repair.query,
+        "op10_langid": op10_langid.query,
     }
 
 
