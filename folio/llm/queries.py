@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op4_bpe, op9_repair, op10_langid
+from . import op3_minhash, op4_bpe, op9_repair, op10_langid
 
 
 def queries() -> dict:
     return {
+        "op3_minhash": op3_minhash.query,
         "op4_bpe": op4_bpe.query,
         "op9_repair": op9_repair.query,
         "op10_langid": op10_langid.query,
