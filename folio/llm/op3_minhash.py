@@ -2,8 +2,8 @@
 
 Sketch. Every shingle is the start of a Poisson process whose points fall on registers; a register keeps
 the least point, and its value is that minimum on an exponential scale, truncated to 16 bits. Only
-points below a bound that depends on the set's size are made (about REGISTERS * log REGISTERS a
-document, besides one a shingle), and a sketch is a function of the set alone, so sketches merge by
+points below a bound that depends on the set's size are made (about m log m a document for m
+registers, besides one a shingle), and a sketch is a function of the set alone, so sketches merge by
 the maximum of their registers. Values agree with a probability close to the Jaccard similarity.
 
 Candidates. Equal sets collapse to one node first, so copies cost nothing. Bands of registers give
@@ -14,7 +14,7 @@ join different components. What is left in a bucket with more than one component
 with all its members, in blocks of bounded size that hold whole texts and give back links only. So no
 link that collides in any band is lost, without making pairs of a group's members as rows.
 
-With BANDS = 32 bands of ROWS = 5 registers, a pair at similarity 0.80 is missed with probability 3e-6.
+With 32 bands of 5 registers (DOCUMENTS), a pair at similarity 0.80 is missed with probability 3e-6.
 
 Null texts and texts without words are linked with nothing. Rows that repeat a doc_id are one document
 each and share that doc_id; null doc_ids belong to the component of their text and are never its name
@@ -24,6 +24,7 @@ unless they are all it has. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,17 @@ from . import words as W
 from .components import components
 from .store import Scratch, small_batches
 
-REGISTERS, BANDS, ROWS = 160, 32, 5
+
+
+class Scheme(NamedTuple):
+    """Registers of a sketch; bands times rows of them make the buckets."""
+
+    registers: int
+    bands: int
+    rows: int
+
+
+DOCUMENTS = Scheme(160, 32, 5)
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BLOCK_ROWS, BLOCK_BYTES = 256, 8_000_000
 SLACK = 6.0
@@ -42,11 +53,12 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers (len(sets), REGISTERS) as uint16 of non-empty sets of 64-bit hashes."""
+def sketches(sets: list[np.ndarray], scheme: Scheme = DOCUMENTS) -> np.ndarray:
+    """Registers (len(sets), registers) as uint16 of non-empty sets of 64-bit hashes."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    least = np.full((len(sets), REGISTERS), np.inf)
-    bounds = (np.log(REGISTERS) + 8) / sizes
+    m = scheme.registers
+    least = np.full((len(sets), m), np.inf)
+    bounds = (np.log(m) + 8) / sizes
     todo = np.arange(len(sets))
     while len(todo):
         hashes = W.mix(np.concatenate([sets[i] for i in todo]))
@@ -55,11 +67,11 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
         while len(hashes):
             hashes = hashes + _STEP
             drawn = W.mix(hashes)
-            at = at - np.log(((drawn >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32) / REGISTERS
+            at = at - np.log(((drawn >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32) / m
             live = at <= bound
             hashes, owner, bound, at = hashes[live], owner[live], bound[live], at[live]
-            register = ((drawn[live] & _LOW) * np.uint64(REGISTERS)) >> np.uint64(32)
-            np.minimum.at(least.reshape(-1), owner * REGISTERS + register.astype(np.int64), at)
+            register = ((drawn[live] & _LOW) * np.uint64(m)) >> np.uint64(32)
+            np.minimum.at(least.reshape(-1), owner * m + register.astype(np.int64), at)
         todo = np.flatnonzero(np.isinf(least).any(axis=1))
         least[todo], bounds[todo] = np.inf, bounds[todo] * 3
     return np.clip(np.floor(1 + np.log(RATE / least) / np.log(BASE)), 0, TOP).astype(np.uint16)
@@ -70,11 +82,12 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_keys(registers: np.ndarray, scheme: Scheme = DOCUMENTS) -> np.ndarray:
     """A signed 64-bit key for each band of each sketch."""
-    rows = registers.reshape(len(registers), BANDS, ROWS).astype(np.uint64)
-    acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
-    for j in range(ROWS):
+    _, bands, width = scheme
+    rows = registers.reshape(len(registers), bands, width).astype(np.uint64)
+    acc = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), rows.shape[:2]).copy()
+    for j in range(width):
         acc = W.mix(acc * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, j])
     return acc.view(np.int64)
 
@@ -82,7 +95,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 _GRID = np.concatenate([np.linspace(0, 0.5, 26)[:-1], np.linspace(0.5, 1, 101)])
 
 
-def estimate(larger: np.ndarray, smaller: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+def estimate(larger: np.ndarray, smaller: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, scheme: Scheme = DOCUMENTS) -> np.ndarray:
     """Joint maximum-likelihood similarity of pairs with so many larger and smaller registers."""
     total = size_a + size_b
     u, v = (size_a / total)[:, None], (size_b / total)[:, None]
@@ -92,15 +105,15 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, size_a: np.ndarray, size_b
         return -np.log1p(-np.clip(x, 0, None) * (BASE - 1) / BASE) / np.log(BASE)
 
     above, below = p(u - v * j), p(v - u * j)
-    equal = REGISTERS - larger - smaller
+    equal = scheme.registers - larger - smaller
     tiny = 1e-12
     likely = larger[:, None] * np.log(above + tiny) + smaller[:, None] * np.log(below + tiny) + equal[:, None] * np.log(np.maximum(1 - above - below, tiny))
     return j[np.arange(len(j)), likely.argmax(axis=1)]
 
 
-def floor_for(similarity: float) -> float:
+def floor_for(similarity: float, scheme: Scheme = DOCUMENTS) -> float:
     """Estimates below this are SLACK standard deviations under the threshold."""
-    return similarity - SLACK * np.sqrt(similarity * (1 - similarity) / REGISTERS)
+    return similarity - SLACK * np.sqrt(similarity * (1 - similarity) / scheme.registers)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -108,7 +121,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return union > 0 and 100 * common >= percent * union
 
 
-def sketch_table(docs: DataFrame, shingle: int) -> DataFrame:
+def sketch_table(docs: DataFrame, shingle: int, scheme: Scheme = DOCUMENTS) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, set_hash (of the set), registers and bands (null for no set)."""
     schema = "doc_id long, text_hash long, n_shingles long, set_hash long, registers binary, bands array<long>"
 
@@ -118,8 +131,8 @@ def sketch_table(docs: DataFrame, shingle: int) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             hashes, registers, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
-                found = sketches([sets[i] for i in full])
-                for i, row, keys in zip(full, found, band_keys(found).tolist(), strict=True):
+                found = sketches([sets[i] for i in full], scheme)
+                for i, row, keys in zip(full, found, band_keys(found, scheme).tolist(), strict=True):
                     hashes[i] = int(W.mix(np.array([np.add.reduce(W.mix(sets[i])) + np.uint64(len(sets[i]))])).view(np.int64)[0])
                     registers[i], bands[i] = row.tobytes(), keys
             yield pa.RecordBatch.from_arrays([
@@ -132,7 +145,7 @@ def sketch_table(docs: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
+def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float, scheme: Scheme) -> DataFrame:
     """Pairs (a, b) whose estimate reaches the floor, with it."""
     side = nodes.select("node", "n_shingles", "registers")
     joined = pairs.join(side.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a")), "a")
@@ -143,8 +156,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b, n_a, r_a, n_b, r_b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "n_a", "r_a", "n_b", "r_b"))
-            left, right = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in (r_a, r_b))
-            s = estimate((left > right).sum(axis=1), (left < right).sum(axis=1), np.asarray(n_a, dtype=np.float64), np.asarray(n_b, dtype=np.float64))
+            left, right = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(-1, scheme.registers) for c in (r_a, r_b))
+            s = estimate((left > right).sum(axis=1), (left < right).sum(axis=1), np.asarray(n_a, dtype=np.float64), np.asarray(n_b, dtype=np.float64), scheme)
             keep = pa.array(s >= floor)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(s[s >= floor], pa.float64())], names=["a", "b", "estimate"])
 
@@ -186,7 +199,7 @@ class _Block:
         self.registers.append(np.frombuffer(registers, dtype=np.uint16))
 
 
-def _block_links(rest: _Block, members: _Block, band: int, floor: float, percent: int) -> list[tuple[int, int]]:
+def _block_links(rest: _Block, members: _Block, band: int, floor: float, percent: int, scheme: Scheme) -> list[tuple[int, int]]:
     """Links between the rest and the members that join different components, found in this block.
 
     Pairs that already collide in an earlier band are left to that band's bucket; once a link joins two
@@ -204,15 +217,15 @@ def _block_links(rest: _Block, members: _Block, band: int, floor: float, percent
         return x
 
     found = []
-    bands_r = right.reshape(len(right), BANDS, ROWS)
+    bands_r = right.reshape(len(right), scheme.bands, scheme.rows)
     label_r, node_r = np.array(members.labels), np.array(members.nodes)
     for i in range(len(left)):
         other = label_r != rest.labels[i]
-        earlier = (bands_r[:, :band] == left[i].reshape(BANDS, ROWS)[None, :band]).all(axis=2).any(axis=1) if band else np.zeros(len(right), dtype=bool)
+        earlier = (bands_r[:, :band] == left[i].reshape(scheme.bands, scheme.rows)[None, :band]).all(axis=2).any(axis=1) if band else np.zeros(len(right), dtype=bool)
         at = np.flatnonzero(other & ~earlier & (np.minimum(sizes_l[i], sizes_r) * 100 >= percent * np.maximum(sizes_l[i], sizes_r)))
         if not len(at):
             continue
-        s = estimate((left[i] > right[at]).sum(axis=1), (left[i] < right[at]).sum(axis=1), np.full(len(at), sizes_l[i]), sizes_r[at])
+        s = estimate((left[i] > right[at]).sum(axis=1), (left[i] < right[at]).sum(axis=1), np.full(len(at), sizes_l[i]), sizes_r[at], scheme)
         order = np.argsort(-s, kind="stable")
         for k in at[order[s[order] >= floor]].tolist():
             a, b = root(rest.labels[i]), root(int(label_r[k]))
@@ -222,7 +235,7 @@ def _block_links(rest: _Block, members: _Block, band: int, floor: float, percent
     return found
 
 
-def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int, floor: float) -> DataFrame:
+def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int, floor: float, scheme: Scheme) -> DataFrame:
     """Links from the members of a bucket that are outside its leader's component to any of its members.
 
     buckets: (key, band, node, leader). Each bucket is cut into blocks: a part of its rest, all its
@@ -252,7 +265,7 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
 
         def compare() -> None:
             nonlocal members, size
-            out.extend(_block_links(rest, members, band, floor, percent))
+            out.extend(_block_links(rest, members, band, floor, percent, scheme))
             members, size = _Block(), 0
 
         for batch in batches:
@@ -282,7 +295,7 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     return full.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None, scheme: Scheme = DOCUMENTS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets, and
@@ -290,9 +303,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")
-    floor = floor_for(percent / 100)
+    floor = floor_for(percent / 100, scheme)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.save(sketch_table(docs, shingle), "sketches")
+    rows = scratch.save(sketch_table(docs, shingle, scheme), "sketches")
     sets = rows.where("set_hash is not null")
     nodes = scratch.save(sets.groupBy(F.col("set_hash").alias("node")).agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"),
@@ -303,7 +316,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     lead = lead.select("key", F.col("x").bitwiseXOR(F.col("key")).alias("leader"))
     buckets = scratch.save(keys.join(lead, "key"), "buckets")
     stars = buckets.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    stars = scratch.save(_estimated(stars, nodes, floor), "stars")
+    stars = scratch.save(_estimated(stars, nodes, floor, scheme), "stars")
 
     needed = buckets.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", "row.doc_id", "row.text_hash")
     needed = scratch.save(needed, "needed")
@@ -323,7 +336,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     open_pairs = open_pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
     links = links.unionByName(scratch.save(_confirmed(open_pairs, texts, shingle, percent), "links-2"))
     labels = scratch.save(components(links, scratch, "cc-2"), "labels-2")
-    rest = scratch.save(_rest_links(buckets, labels, nodes, texts, scratch, shingle, percent, floor), "links-3")
+    rest = scratch.save(_rest_links(buckets, labels, nodes, texts, scratch, shingle, percent, floor, scheme), "links-3")
     if rest.head(1):
         links = links.unionByName(rest)
         labels = scratch.save(components(links, scratch, "cc-3"), "labels-3")

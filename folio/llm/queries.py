@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op3_minhash, op4_bpe, op9_repair, op10_langid
+from . import op2_substring, op3_minhash, op4_bpe, op9_repair, op10_langid
 
 
 def queries() -> dict:
     return {
+        "op2_substring": op2_substring.query,
         "op3_minhash": op3_minhash.query,
         "op4_bpe": op4_bpe.query,
         "op9_repair": op9_repair.query,
