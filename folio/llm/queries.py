@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op2_substring, op3_minhash, op4_bpe, op7_decontaminate, op9_repair, op10_langid
+from . import op1_quality, op2_substring, op3_minhash, op4_bpe, op7_decontaminate, op9_repair, op10_langid
 
 
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality.query,
         "op2_substring": op2_substring.query,
         "op3_minhash": op3_minhash.query,
         "op4_bpe": op4_bpe.query,
@@ -17,4 +18,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality": op1_quality.SQL,
+    }
