@@ -248,7 +248,7 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     with_label = scratch.save(with_label.select("key", "band", "node", "label", "is_rest"), "labelled")
     sizes = with_label.groupBy("key").agg(F.sum(F.col("is_rest").cast("long")).alias("n_rest"), F.count("*").alias("n_all")).where("n_rest > 0")
     rows = with_label.join(sizes, "key")
-    rows = rows.withColumn("rest_blocks", F.ceil(F.col("n_rest") / BLOCK_ROWS).cast("int")).withColumn("all_blocks", F.ceil(F.col("n_all") / (8 * BLOCK_ROWS)).cast("int"))
+    rows = rows.withColumn("rest_blocks", F.ceil(F.col("n_rest") / BLOCK_ROWS).cast("int")).withColumn("all_blocks", F.ceil(F.col("n_all") / (2 * BLOCK_ROWS)).cast("int"))
     spread = F.pmod(F.xxhash64("node", F.lit(5)), F.col("rest_blocks")).cast("int")
     spread_all = F.pmod(F.xxhash64("node", F.lit(9)), F.col("all_blocks")).cast("int")
     as_rest = rows.where("is_rest").select("key", "band", "node", "label", F.lit(0).alias("side"), spread.alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
