@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op2_substring, op3_minhash, op4_bpe, op5_html, op7_decontaminate, op9_repair, op10_langid
+from . import op1_quality, op2_substring, op3_minhash, op4_bpe, op5_html, op7_decontaminate, op8_toxicity, op9_repair, op10_langid
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_bpe": op4_bpe.query,
         "op5_html": op5_html.query,
         "op7_decontaminate": op7_decontaminate.query,
+        "op8_toxicity": op8_toxicity.query,
         "op9_repair": op9_repair.query,
         "op10_langid": op10_langid.query,
     }
