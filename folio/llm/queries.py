@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op2_substring, op3_minhash, op4_bpe, op5_html, op7_decontaminate, op8_toxicity, op9_repair, op10_langid
+from . import op1_quality, op2_substring, op3_minhash, op4_bpe, op5_html, op6_suffix_tree, op7_decontaminate, op8_toxicity, op9_repair, op10_langid
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_minhash": op3_minhash.query,
         "op4_bpe": op4_bpe.query,
         "op5_html": op5_html.query,
+        "op6_suffix_tree": op6_suffix_tree.query,
         "op7_decontaminate": op7_decontaminate.query,
         "op8_toxicity": op8_toxicity.query,
         "op9_repair": op9_repair.query,
