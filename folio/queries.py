@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
+
+from . import plans
+from .plans.registry import QUERIES, SQL
+
+for _m in pkgutil.iter_modules(plans.__path__):
+    importlib.import_module(f"{plans.__name__}.{_m.name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
