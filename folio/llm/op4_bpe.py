@@ -177,13 +177,8 @@ class RankBpe:
         return b"".join(found)
 
 
-_LOADED: dict[str, RankBpe] = {}
-
-
 def load(path: str) -> RankBpe:
-    if path not in _LOADED:
-        _LOADED[path] = RankBpe(path)
-    return _LOADED[path]
+    return W.kept("bpe", path, lambda: RankBpe(path))
 
 
 def _replaced(df: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, T.StructType]:
@@ -207,7 +202,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for batch, texts in W.chunks(batches, "__text"):
+        for batch, texts in W.chunks(batches, "__text", keep="bpe"):
             found = [bpe.encode(t) if t else b"" for t in texts]
             sizes = [len(f) // 4 for f in found]
             decimals = bpe.decimals.join(np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum([0, *sizes]))
@@ -227,7 +222,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for batch, rows in W.chunks(batches, "__ids"):
+        for batch, rows in W.chunks(batches, "__ids", keep="bpe"):
             sizes = [len(r) // 4 if r else 0 for r in rows]
             flat = np.frombuffer(b"".join([r for r in rows if r]), dtype="<u4")
             out = [d.decode("utf-8", "replace") for d in bpe.texts.join(flat, np.cumsum([0, *sizes]))]

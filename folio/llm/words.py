@@ -7,7 +7,7 @@ A word is a run of bytes outside space and \\x09-\\x0D; ``bytes.split()`` cuts a
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +83,23 @@ def jaccard_counts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return common, len(a) + len(b) - common
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches whose texts hold about ``limit`` bytes (one longer text makes a slice of its own)."""
+_KEPT: dict[str, tuple[str, object]] = {}
+
+
+def kept(name: str, key: str, make: Callable[[], object]) -> object:
+    """A worker's large tables of one operator, made again for another key."""
+    if _KEPT.get(name, (None, None))[0] != key:
+        _KEPT[name] = key, make()
+    return _KEPT[name][1]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, keep: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches whose texts hold about ``limit`` bytes (one longer text makes a slice of its own).
+
+    Workers live through many operators' tasks: tables that another operator than ``keep`` has kept go first.
+    """
+    for name in [k for k in _KEPT if k != keep]:
+        del _KEPT[name]
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         values = column.to_pylist()
