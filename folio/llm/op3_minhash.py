@@ -37,11 +37,13 @@ from .store import Scratch, small_batches
 
 
 class Scheme(NamedTuple):
-    """Registers of a sketch; bands times rows of them make the buckets."""
+    """Registers of a sketch; bands times rows of them make the buckets. plain: registers are minimum
+    hashes' low bits, which agree with the similarity as probability, and not on an exponential scale."""
 
     registers: int
     bands: int
     rows: int
+    plain: bool = False
 
 
 DOCUMENTS = Scheme(160, 32, 5)
@@ -84,7 +86,7 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def band_keys(registers: np.ndarray, scheme: Scheme = DOCUMENTS) -> np.ndarray:
     """A signed 64-bit key for each band of each sketch."""
-    _, bands, width = scheme
+    _, bands, width, _ = scheme
     rows = registers.reshape(len(registers), bands, width).astype(np.uint64)
     acc = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), rows.shape[:2]).copy()
     for j in range(width):
@@ -97,6 +99,8 @@ _GRID = np.concatenate([np.linspace(0, 0.5, 26)[:-1], np.linspace(0.5, 1, 101)])
 
 def estimate(larger: np.ndarray, smaller: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, scheme: Scheme = DOCUMENTS) -> np.ndarray:
     """Joint maximum-likelihood similarity of pairs with so many larger and smaller registers."""
+    if scheme.plain:
+        return 1 - (larger + smaller) / scheme.registers
     total = size_a + size_b
     u, v = (size_a / total)[:, None], (size_b / total)[:, None]
     j = np.minimum(_GRID[None], np.minimum(u / v, v / u))
@@ -295,17 +299,19 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     return full.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None, scheme: Scheme = DOCUMENTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None, scheme: Scheme = DOCUMENTS, rows: DataFrame | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets, and
-    component_id is the least doc_id reachable over links. Rows without a set name themselves.
+    component_id is the least doc_id reachable over links. Rows without a set name themselves. rows: the
+    sketches of docs as sketch_table gives them, where they are at hand.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")
     floor = floor_for(percent / 100, scheme)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.save(sketch_table(docs, shingle, scheme), "sketches")
+    if rows is None:
+        rows = scratch.save(sketch_table(docs, shingle, scheme), "sketches")
     sets = rows.where("set_hash is not null")
     nodes = scratch.save(sets.groupBy(F.col("set_hash").alias("node")).agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"),
