@@ -47,7 +47,7 @@ def read_allowed(df: DataFrame, allowed: list[str]) -> DataFrame:
 
 def page_texts(df: DataFrame, pages: str) -> DataFrame:
     """df with its map of Page_n to text as an array of (page, text), ordered by page."""
-    entries = F.transform(F.map_entries(pages), lambda e: F.struct(F.regexp_extract(e["key"], r"(\d+)$", 1).cast("int").alias("page"), e["value"].alias("text")))
+    entries = F.transform(F.map_entries(pages), lambda e: F.struct(F.regexp_extract(e["key"], r"(\d+)$", 1).try_cast("int").alias("page"), e["value"].alias("text")))
     return df.withColumn(pages, F.array_sort(F.filter(entries, lambda e: e["page"].isNotNull())))
 
 
