@@ -94,6 +94,10 @@ class RankBpe:
         self.texts = Gather(self.token_bytes)
         self.decimals = Gather([f"{i},".encode() for i in range(size)])
 
+    def forget(self) -> None:
+        """Drop the encodings: an idle worker holds the vocabulary alone."""
+        self.recent, self.older = {}, {}
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece of the pattern."""
         if len(piece) > SHORT:
@@ -211,6 +215,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
                 ("n_tokens", pa.array(sizes, pa.int64())),
                 ("ids_sha256", pa.array([hashlib.sha256(d[:-1]).hexdigest() for d in decimals], pa.string())),
             ])
+        load(tokenizer).forget()
 
     return kept.withColumn("__text", F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets everything when it has grown to ``limit`` entries."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -96,7 +96,8 @@ def kept(name: str, key: str, make: Callable[[], object]) -> object:
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, keep: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches whose texts hold about ``limit`` bytes (one longer text makes a slice of its own).
 
-    Workers live through many operators' tasks: tables that another operator than ``keep`` has kept go first.
+    Workers outlive their tasks, and idle ones stay: at a task's end its tables go, but for those that the
+    operator ``keep`` keeps for its next task; those of other operators go at its beginning.
     """
     for name in [k for k in _KEPT if k != keep]:
         del _KEPT[name]
@@ -109,6 +110,9 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             if held >= limit or i + 1 == len(values):
                 yield batch.slice(start, i + 1 - start), values[start : i + 1]
                 start, held = i + 1, 0
+    if not keep:
+        _HASHES.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def crc_mod(doc_id: int, modulus: int) -> int:
