@@ -142,7 +142,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     lines = units.where("line is not null")
     sketches = lines.select(F.col("unit").alias("doc_id"), F.xxhash64("line").alias("text_hash"), (F.col("n_words") - (SHINGLE - 1)).cast("long").alias("n_shingles"), F.col("unit").alias("set_hash"), "registers", "bands")
     lines = lines.select(F.col("unit").alias("doc_id"), F.col("line").alias("text"))
-    alike = near_duplicates(lines, SHINGLE, PERCENT, Scratch(docs.sparkSession, "substring-lines"), LINES, sketches)
+    alike = near_duplicates(lines, SHINGLE, PERCENT, Scratch(docs.sparkSession, "substring-lines"), LINES, sketches, 0)
     alike = alike.where("doc_id <> component_id").select(F.col("doc_id").alias("unit"), F.col("component_id").alias("group")).distinct()
     place = ["doc_id", "text_hash", "start", "n_words"]
     of_lines = units.where("line is not null").select(*place, "unit").join(alike, "unit", "left").select(*place, F.coalesce("group", "unit").alias("group"))

@@ -299,12 +299,13 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     return full.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None, scheme: Scheme = DOCUMENTS, rows: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None, scheme: Scheme = DOCUMENTS, rows: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets, and
     component_id is the least doc_id reachable over links. Rows without a set name themselves. rows: the
-    sketches of docs as sketch_table gives them, where they are at hand.
+    sketches of docs as sketch_table gives them, where they are at hand. Up to broadcast_rows nodes that
+    collide (24 bytes each) find their texts by broadcast, more by shuffling.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")
@@ -326,7 +327,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
 
     needed = buckets.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", "row.doc_id", "row.text_hash")
     needed = scratch.save(needed, "needed")
-    if needed.count() <= BROADCAST_ROWS:  # 24 bytes a row; beyond it both sides are shuffled
+    if broadcast_rows and needed.count() <= broadcast_rows:
         needed = F.broadcast(needed)
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(needed["doc_id"]) & (keyed["text_hash"] == needed["text_hash"])
