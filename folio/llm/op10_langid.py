@@ -36,6 +36,7 @@ EPOCHS = 4
 RATE = 4.0
 REJECTED_SHARE = 0.001
 MAX_THRESHOLD = 0.5
+PART_CHARS = 500_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _BREAK = np.uint32(0)
@@ -99,6 +100,19 @@ class Model:
     threshold: float
 
     def logits(self, texts: list[str]) -> np.ndarray:
+        """A row per text, in parts of bounded size."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= PART_CHARS:
+                out.append(self._logits(part))
+                part, size = [], 0
+        if part:
+            out.append(self._logits(part))
+        return np.concatenate(out) if out else np.empty((0, len(self.languages)))
+
+    def _logits(self, texts: list[str]) -> np.ndarray:
         buckets, owners = subwords(texts)
         counts = np.maximum(np.bincount(owners, minlength=len(texts)), 1)
         sums = np.stack([np.bincount(owners, weights=self.scores[:, k][buckets], minlength=len(texts)) for k in range(len(self.languages))], axis=1)
@@ -171,7 +185,10 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str]
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from the rows of docs (doc_id, lang, text); None if no row is labelled."""
     texts, labels = sample(docs, per_language)
-    return fit(texts, labels) if texts else None
+    model = fit(texts, labels) if texts else None
+    del texts, labels
+    W.trim()
+    return model
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -192,7 +192,9 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ord
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*sample(docs, labels))
+    model = fit(*sample(docs, labels))
+    W.trim()
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -6,6 +6,9 @@ A word is a run of bytes outside space and \\x09-\\x0D; ``bytes.split()`` cuts a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -115,5 +118,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         pa.default_memory_pool().release_unused()
 
 
+def trim() -> None:
+    """Give freed memory back to the system after training, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
