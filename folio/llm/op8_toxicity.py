@@ -32,7 +32,7 @@ from . import words as W
 from .store import small_batches
 
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
-WINDOW, GRAM = 10, 6
+WINDOW, STEP, GRAM = 10, 5, 6
 SHARED_BYTES, OWN_BYTES = 30_000, 2_000
 MIN_CONTEXTS, ROWS_PER_CONTEXT, MIN_LOG_ODDS = 4, 150, 3.0
 LEVEL = 6
@@ -42,7 +42,7 @@ CUT = 0.7
 
 def windows(text: bytes | None) -> list[bytes]:
     words = text.lower().split() if text else []
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
+    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, max(1, len(words) - WINDOW + STEP), STEP)] if words else []
 
 
 def _padded(word: bytes) -> bytes:
