@@ -32,9 +32,9 @@ def constrained_threshold(spark, d):
     return V.constrained_threshold(o, "answerable", "s", 0.2)
 
 
-@query("""WITH g AS (SELECT p_brand, sum(p_retailprice) AS s, count(*) AS c FROM part GROUP BY 1) SELECT p_brand, round(((SELECT sum(s) FROM g) - s) / ((SELECT sum(c) FROM g) - c), 6) AS others, round(s / c, 6) AS own FROM g""")
+@query("""WITH g AS (SELECT p_brand, sum(p_retailprice) AS s, count(*) AS c FROM part GROUP BY 1) SELECT p_brand, round(((SELECT sum(s) FROM g) - s) / ((SELECT sum(c) FROM g) - c), 4) AS others, round(s / c, 4) AS own FROM g""")
 def leave_one_brand_out(spark, d):
-    return V.leave_one_out(table(spark, d, "part"), "p_brand", "p_retailprice").select("p_brand", F.round("others", 6).alias("others"), F.round("own", 6).alias("own"))
+    return V.leave_one_out(table(spark, d, "part"), "p_brand", "p_retailprice").select("p_brand", F.round("others", 4).alias("others"), F.round("own", 4).alias("own"))
 
 
 @query("""WITH l AS (SELECT * FROM (VALUES (0, 'BUILDING'), (1, 'MACHINERY'), (2, 'NONE')) v(place, level)) SELECT place, level, count(c_custkey) AS n, round(avg(c_acctbal), 6) AS mean, round(median(c_acctbal), 6) AS median FROM l LEFT JOIN customer ON c_mktsegment = level GROUP BY 1, 2""")
