@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as D
 from ..sources import tables as T
 from ..streaming import events as E
-from .registry import query, table
+from .registry import query, table, whole
 
 
 def _lines(spark, d):
@@ -39,16 +39,34 @@ def redacted_addresses(spark, d):
 
 @query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 5 + 1 AS n FROM orders WHERE o_orderkey % 10 = 0) SELECT k, CAST(number AS INTEGER) AS number, 'Risk ' || number || ' of ' || k || '. See 99.' AS risk FROM (SELECT k, unnest(range(1, n + 1)) AS number FROM r)""")
 def numbered_risks(spark, d):
+    return _risks(table(spark, d, "orders").where("o_orderkey % 10 = 0"))
+
+
+@query(whole("numbered_risks", "o_orderkey % 10 = 0"))
+def all_numbered_risks(spark, d):
+    return _risks(table(spark, d, "orders"))
+
+
+def _risks(o):
     text = F.concat(F.lit("Preface\n"), F.array_join(F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 5 + 1).cast("int")), lambda i: F.concat(i.cast("string"), F.lit(". Risk "), i.cast("string"), F.lit(" of "), F.col("o_orderkey").cast("string"), F.lit(". See 99."))), "\n"))
-    r = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("k"), text.alias("t"))
+    r = o.select(F.col("o_orderkey").alias("k"), text.alias("t"))
     return D.numbered_risks(r, "k", "t")
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 20 = 0) SELECT k, CAST(CASE WHEN k % 3 <> 0 THEN day END AS DATE) AS day, '/doc/' || k AS link, 'Offer ' || k AS title FROM o WHERE k % 3 <> 0""")
 def listing_rows(spark, d):
+    return _listing(table(spark, d, "orders").where("o_orderkey % 20 = 0"))
+
+
+@query(whole("listing_rows", "o_orderkey % 20 = 0"))
+def all_listing_rows(spark, d):
+    return _listing(table(spark, d, "orders"))
+
+
+def _listing(o):
     k = F.col("o_orderkey")
     row = F.concat(F.lit("<table><tr><td>Date</td></tr><tr><td>"), F.when(k % 3 != 0, F.date_format("o_orderdate", "MMM dd, yyyy")).otherwise(""), F.lit("</td><td><a href='/doc/"), k, F.lit("'><b>Offer</b> "), k, F.lit("</a></td></tr></table>"))
-    return D.listing(table(spark, d, "orders").where("o_orderkey % 20 = 0").select(k.alias("k"), row.alias("html")), "k", "html")
+    return D.listing(o.select(k.alias("k"), row.alias("html")), "k", "html")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'negative' WHEN c_nationkey = 3 THEN 'nation' WHEN c_custkey % 50 = 0 THEN 'sampled' END AS skip_reason, list_filter([CASE WHEN c_acctbal < 0 THEN 'balance' END, CASE WHEN c_custkey % 50 = 0 THEN 'key' END], lambda x: x IS NOT NULL) AS problems FROM customer""")
