@@ -29,3 +29,9 @@ def test_seeds_of_every_order_get_negatives(spark, data):
     negative = {r[0]: r[1] for r in QUERIES["all_negative_passages"](spark, data).groupBy("k").count().collect()}
     assert {r[0]: r[1] for r in positive}.keys() == negative.keys() == keys(spark, data, "orders", "o_orderkey")
     assert all(negative[r[0]] <= r[1] for r in positive)
+
+
+@pytest.mark.parametrize("name", ["all_bm25_top_passages", "all_fused_search_with_cues", "all_answered_or_abstained"])
+def test_every_benchmark_item_is_asked(spark, data, name):
+    found = {r[0] for r in QUERIES[name](spark, data).select("item_id").distinct().collect()}
+    assert found == keys(spark, data, "benchmark", "item_id")
