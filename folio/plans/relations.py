@@ -80,7 +80,7 @@ def companion_notes(spark, d):
 
 @query()
 def fuzzy_supplier_names(spark, d):
-    """Customer names that match a supplier's by a matching-blocks ratio of 0.9 (no SQL function gives it)."""
+    """Customer names that match a supplier's: a matching-blocks ratio of 0.9 (no SQL function gives it) or one word that opens the other."""
     names = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lower(F.replace("c_name", F.lit("#"), F.lit(" "))).alias("name"))
     listed = table(spark, d, "supplier").select(F.lower(F.replace(F.replace("s_name", F.lit("#"), F.lit(" ")), F.lit("Supplier"), F.lit("Customer"))).alias("name"))
     return J.name_matches(names, listed, "k", "name")
