@@ -9,6 +9,14 @@ more shares at least one whole paragraph with each of its copies.
 Lines get MinHash signatures of their five-word shingles, 8 bands of 3 rows, tuned for recall: 99.7 % at
 similarity 0.8. Colliding lines are joined and confirmed by exact Jaccard (0.8 or more), as in op3_minhash. Paragraphs at
 anchors are alike only if all but their edges agree, so they are joined on the hash of all their words.
+
+Near copies in the middle of other text meet on seeds: SEED words after an anchor of SEED places. Copies of a
+passage at Jaccard 0.8 or more hold an equal run of 24 words (49 words may differ in one, 94 in two ...), and a
+run of 2 * SEED - 1 = 23 words holds a seed. Each place of a seed is aligned with the seed's first place, in the
+least doc_id, over REACH words on either side, and the longest aligned passage of PARAGRAPH words or more whose
+shingles have an exact Jaccard of 0.8 or more goes. A place is compared with the first one only: a passage
+all of whose seeds first stand in other text is missed.
+
 Linked paragraphs form components; each component stays in the document with the least doc_id and goes
 from all others. Repeats inside one document alone stay.
 
@@ -33,26 +41,27 @@ from .store import Scratch, small_batches
 
 SHINGLE, PARAGRAPH, WINDOW, PERCENT = 5, 28, 24, 80
 LINES = Scheme(24, 8, 3, plain=True)
+SEED, REACH, GAP, RESUME = 12, 96, 4, 4
 MAP_BITS, HOT_SHARE = 25, 1000
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _NO_DOC = (1 << 63) - 1
 _SEEDS = W.mix(np.arange(101, 101 + LINES.registers, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def anchors(grams: np.ndarray, n_words: int) -> np.ndarray:
-    """Places of the least five-word shingle of each WINDOW places (leftmost of equals; in a run of
-    equal neighbours every WINDOW-th) from which PARAGRAPH words follow."""
-    if len(grams) <= WINDOW:
+def anchors(grams: np.ndarray, n_words: int, window: int = WINDOW, size: int = PARAGRAPH) -> np.ndarray:
+    """Places of the least shingle of each `window` places (leftmost of equals; in a run of equal neighbours
+    every window-th) from which `size` words follow."""
+    if len(grams) <= window:
         at = np.array([int(grams.argmin())])
     else:
-        view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+        view = np.lib.stride_tricks.sliding_window_view(grams, window)
         at = view.argmin(axis=1) + np.arange(len(view))
         at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     if len(at) > 1:
         same = np.concatenate([[False], (np.diff(at) == 1) & (grams[at[1:]] == grams[at[:-1]])])
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-        at = at[(np.arange(len(at)) - head) % WINDOW == 0]
-    return at[at <= n_words - PARAGRAPH]
+        at = at[(np.arange(len(at)) - head) % window == 0]
+    return at[at <= n_words - size]
 
 
 def signatures(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -77,14 +86,14 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_hash, unit, start, n_words) for paragraphs at anchors; for lines also the line, its
+    """Rows (doc_id, text_hash, unit, start, n_words) for paragraphs at anchors and for seeds; for lines also the line, its
     signature's low bits (registers) and its bands."""
     schema = "doc_id long, text_hash long, unit long, start int, n_words int, line string, registers binary, bands array<long>"
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in W.chunks(batches, "text"):
-            owner, units, starts = [], [], []
+            owner, units, starts, sizes = [], [], [], []
             line_owner, line_units, line_starts, line_sizes, lines, gram_starts, grams, total = [], [], [], [], [], [], [], 0
             for i, text in enumerate(texts):
                 words: list[bytes] = []
@@ -105,20 +114,22 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
                 own_grams = W.windows(hashes, SHINGLE)
                 grams.append(own_grams)
                 total += len(own_grams)
-                at = anchors(own_grams, len(words))
-                acc = hashes[at]
-                for j in range(1, PARAGRAPH):
-                    acc = acc * np.uint64(0x9E3779B97F4A7C15) + hashes[at + j]
-                owner.append(np.full(len(at), i, dtype=np.int32))
-                units.append(W.mix(acc).view(np.int64))
-                starts.append(at.astype(np.int32))
+                for window, size in ((WINDOW, PARAGRAPH), (SEED, SEED)):
+                    at = anchors(own_grams if size != SEED else W.windows(hashes, SEED), len(words), window, size)
+                    acc = hashes[at]
+                    for j in range(1, size):
+                        acc = acc * np.uint64(0x9E3779B97F4A7C15) + hashes[at + j]
+                    owner.append(np.full(len(at), i, dtype=np.int32))
+                    units.append(W.mix(acc).view(np.int64))
+                    starts.append(at.astype(np.int32))
+                    sizes.append(np.full(len(at), size, dtype=np.int32))
             if not units:
                 continue
             n = sum(map(len, units))
             take = pa.array(np.concatenate([*owner, np.array(line_owner, dtype=np.int32)]))
-            begin, size = np.array(gram_starts, dtype=np.int64), np.array(line_sizes, dtype=np.int64)
+            begin, own_sizes = np.array(gram_starts, dtype=np.int64), np.array(line_sizes, dtype=np.int64)
             if len(lines):
-                mins = signatures(np.concatenate(grams), begin, begin + size - (SHINGLE - 1))
+                mins = signatures(np.concatenate(grams), begin, begin + own_sizes - (SHINGLE - 1))
                 low, keys = mins.astype(np.uint16), band_keys(mins).tolist()
             registers = [None] * n + ([r.tobytes() for r in low] if len(lines) else [])
             bands = [None] * n + (keys if len(lines) else [])
@@ -126,7 +137,7 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
                 batch.column(0).take(take), batch.column(1).take(take),
                 pa.array(np.concatenate([*units, np.array(line_units, dtype=np.int64)])),
                 pa.array(np.concatenate([*starts, np.array(line_starts, dtype=np.int32)])),
-                pa.array(np.concatenate([np.full(n, PARAGRAPH, dtype=np.int32), size.astype(np.int32)])),
+                pa.array(np.concatenate([*sizes, own_sizes.astype(np.int32)])),
                 pa.array([None] * n + lines, pa.string()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
             ], names=["doc_id", "text_hash", "unit", "start", "n_words", "line", "registers", "bands"])
 
@@ -146,11 +157,122 @@ def repeated_spans(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     alike = alike.where("doc_id <> component_id").select(F.col("doc_id").alias("unit"), F.col("component_id").alias("group")).distinct()
     place = ["doc_id", "text_hash", "start", "n_words"]
     of_lines = units.where("line is not null").select(*place, "unit").join(alike, "unit", "left").select(*place, F.coalesce("group", "unit").alias("group"))
-    found = units.where("line is null").select(*place, F.col("unit").alias("group")).unionByName(scratch.save(of_lines, "lines"))
+    found = units.where(f"line is null and n_words = {PARAGRAPH}").select(*place, F.col("unit").alias("group")).unionByName(scratch.save(of_lines, "lines"))
     repeated = found.groupBy("group").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("kept_in < last").select("group", "kept_in", "n")
     repeated = scratch.save(repeated, "repeated")
     gone = _joined(_possible(found, repeated), repeated, units.count())
-    return gone.where("doc_id <> kept_in").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words", "kept_in")).alias("spans"))
+    gone = gone.where("doc_id <> kept_in").select(*place, "kept_in")
+    gone = scratch.save(gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words", "kept_in")).alias("spans")), "equal")
+    near = near_spans(docs, units.where(f"line is null and n_words = {SEED}").select(*place, F.col("unit").alias("group")), gone, scratch)
+    both = gone.unionByName(near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words", "kept_in")).alias("spans")))
+    return both.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def near_spans(docs: DataFrame, seeds: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (doc_id, text_hash, start, n_words, kept_in) of passages that are near copies around a seed's first place.
+
+    seeds: (doc_id, text_hash, start, n_words, group); gone: (doc_id, text_hash, spans) that go anyway: seeds
+    amid them, PARAGRAPH words from their ends, aren't compared."""
+    first, total = F.struct("doc_id", "text_hash", "start"), seeds.count()
+    repeated = seeds.groupBy("group").agg(F.min(first).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first.doc_id < last").select("group", "first", "n")
+    repeated = scratch.save(repeated, "seeds")
+    places = _joined(_possible(seeds, repeated), repeated, total, "first").where("doc_id <> first.doc_id")
+    of_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "group", "first")).alias("places")).join(gone, ["doc_id", "text_hash"], "left")
+    of_doc = of_doc.select("doc_id", "text_hash", "places", F.transform("spans", lambda s: F.struct(s["start"], s["n_words"])).alias("spans"))
+    schema = "doc_id long, text_hash long, start int, group long, first struct<doc_id:long,text_hash:long,start:int>"
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text_hash, found, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                runs = merged([(s["start"], s["n_words"]) for s in spans or []])
+                for x in found:
+                    low, high = max(0, x["start"] - PARAGRAPH), x["start"] + SEED + PARAGRAPH
+                    if not any(a <= low and high <= b for a, b in runs):
+                        rows.append((doc, text_hash, x["start"], x["group"], x["first"]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()),
+                    pa.array([r[4] for r in rows], pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32())])),
+                ], names=["doc_id", "text_hash", "start", "group", "first"])
+
+    open_ = scratch.save(of_doc.mapInArrow(outside, schema), "open")
+    scratch.drop("paragraphs", "lines", "repeated", "seeds")  # nothing reads them any more
+    firsts = open_.select("group", "first").distinct().select("first.*", "group", F.lit(True).alias("is_first"))
+    asked = open_.select("doc_id", "text_hash", "start", "group", F.lit(False).alias("is_first")).unionByName(firsts)
+    asked = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "group", "is_first")).alias("asked"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    around = scratch.save(texts.join(asked, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "asked", "text").mapInArrow(_surroundings, "group long, is_first boolean, doc_id long, text_hash long, start int, at int, around binary"), "around")
+    sizes = open_.groupBy("group").agg(F.count("*").alias("n"))
+    leads = around.where("is_first").dropDuplicates(["group"]).select("group", F.struct("doc_id", "at", "around").alias("lead")).join(sizes, "group")
+    pairs = _joined(around.where("not is_first"), scratch.save(leads, "leads"), open_.count(), "lead")
+    pairs = pairs.select("doc_id", "text_hash", "start", "at", "around", F.col("lead.doc_id").alias("kept_in"), F.col("lead.at").alias("at_b"), F.col("lead.around").alias("b"))
+    return pairs.mapInArrow(_near, "doc_id long, text_hash long, start int, n_words int, kept_in long")
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text_hash, asked, text) to hashes of the words around each place asked for."""
+    for batch, texts in W.chunks(batches, "text"):
+        rows = []
+        for doc, text_hash, asked, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts, strict=True):
+            hashes = W.hash_words(text.lower().split())
+            for x in asked:
+                low = max(0, x["start"] - REACH)
+                rows.append((x["group"], x["is_first"], doc, text_hash, x["start"], x["start"] - low, hashes[low : x["start"] + SEED + REACH].tobytes()))
+                if len(rows) == 1000:
+                    yield _place_rows(rows)
+                    rows = []
+        if rows:
+            yield _place_rows(rows)
+
+
+def _place_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["group", "is_first", "doc_id", "text_hash", "start", "at", "around"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    for batch in batches:
+        rows = []
+        for doc, text_hash, start, at, a, kept_in, at_b, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            span = near_passage(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), at, at_b)
+            if span:
+                rows.append((doc, text_hash, start - at + span[0], span[1] - span[0], kept_in))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "text_hash", "start", "n_words", "kept_in"])
+
+
+def _runs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Ends (in a, in b) of the equal runs from the front of both, over gaps of up to GAP words in either."""
+    i = j = 0
+    out = []
+    while True:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        out.append((i, j))
+        gaps = ((x, both - x) for both in range(1, 2 * GAP + 1) for x in range(max(0, both - GAP), min(GAP, both) + 1))
+        step = next(((x, y) for x, y in gaps if i + x + RESUME <= len(a) and a[i + x : i + x + RESUME] == b[j + y : j + y + RESUME]), None)
+        if step is None:
+            return out
+        i, j = i + step[0], j + step[1]
+
+
+def near_passage(a: np.ndarray, b: np.ndarray, at: int, at_b: int) -> tuple[int, int] | None:
+    """The longest (start, end) in a, around the words that both have in common from at and at_b, that is alike
+    to its aligned passage in b."""
+    x, y = a.tolist(), b.tolist()
+    right = [(at + i, at_b + j) for i, j in _runs(x[at:], y[at_b:])]
+    left = [(at - i, at_b - j) for i, j in _runs(x[:at][::-1], y[:at_b][::-1])]
+    if right[-1][0] - left[-1][0] < PARAGRAPH:
+        return None
+    grams_a, grams_b = W.windows(a, SHINGLE), W.windows(b, SHINGLE)
+    spans = sorted(((s, e) for s in left for e in right if e[0] - s[0] >= PARAGRAPH and e[1] - s[1] >= PARAGRAPH), key=lambda p: p[0][0] - p[1][0])
+    for (start, start_b), (end, end_b) in spans:
+        common, union = W.jaccard_counts(np.unique(grams_a[start : end - SHINGLE + 1]), np.unique(grams_b[start_b : end_b - SHINGLE + 1]))
+        if 100 * common >= PERCENT * union:
+            return start, end
+    return None
 
 
 def _possible(found: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -185,12 +307,12 @@ def _possible(found: DataFrame, repeated: DataFrame) -> DataFrame:
     return found.mapInArrow(run, found.schema)
 
 
-def _joined(found: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
-    """found with kept_in. Groups with over a HOT_SHARE-th of all paragraphs, of which there are fewer than
+def _joined(found: DataFrame, repeated: DataFrame, total: int, value: str = "kept_in") -> DataFrame:
+    """found with the value of its group. Groups with over a HOT_SHARE-th of all paragraphs, of which there are fewer than
     HOT_SHARE, are joined by broadcast; the others by shuffling, so no task gets more than such a group."""
-    hot = repeated.where(F.col("n") > total / HOT_SHARE).select("group", "kept_in")
+    hot = repeated.where(F.col("n") > total / HOT_SHARE).select("group", value)
     common = F.broadcast(hot)
-    rest = repeated.where(F.col("n") <= total / HOT_SHARE).select("group", "kept_in")
+    rest = repeated.where(F.col("n") <= total / HOT_SHARE).select("group", value)
     return found.join(common, "group").unionByName(found.join(common.select("group"), "group", "left_anti").join(rest, "group"))
 
 
