@@ -2,8 +2,8 @@
 
 Documents are put in ascending doc_id order by a range shuffle; each task encodes its range, appends
 the end id, and cuts it into shards of about ``SHARD_IDS`` ids. In a shard, the frequent pairs of
-adjacent symbols are replaced by new symbols again and again (many pairs a round, left to right, never
-across documents). A shard stores its rules, the length that each symbol expands to, the documents'
+adjacent symbols are replaced by new symbols again and again (up to PER_ROUND pairs a round, left to
+right, never across documents) until no pair stands in MIN_COUNT places of the shard. A shard stores its rules, the length that each symbol expands to, the documents'
 places in the symbol sequence and the sequence. The expansion lengths give any id range of any document
 without decoding the rest. Shards are records of a Parquet table, so Spark's commit protocol makes
 them safe against lost or repeated tasks, on any store that Spark writes.
@@ -32,7 +32,6 @@ from .store import Scratch, small_batches
 
 END_ID = 0
 SHARD_IDS = 1_000_000
-ROUNDS = 2
 PER_ROUND = 5000
 MIN_COUNT = 16
 CACHE_ENTRIES, HEADS = 700_000, 50_000
@@ -107,60 +106,54 @@ def load(path: str) -> ChunkEncoder:
     return W.kept("chunks", path, lambda: ChunkEncoder(path))
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n, 2), symbols, and the documents' places among the symbols (n_docs + 1).
 
-    starts: the documents' places among the ids, with the end. Symbols stay under 65,536 where base does.
+    starts: the documents' places among the ids, with the end. Goes on until no pair of adjacent symbols
+    stands in MIN_COUNT places, or for so many rounds. Pairs are keyed in 32 bits while symbols fit in 16.
     """
-    symbols, rules, top = ids.astype(np.uint32), [], base
-    limit = 65_536 if base < 65_536 else base + 65_536
-    width = np.uint64(32) if limit > 65_536 else np.uint32(16)
-    for _ in range(rounds):
-        room = min(PER_ROUND, limit - top)
-        if len(symbols) < 2 or room <= 0:
-            break
-        wide = symbols.astype(np.uint64) if limit > 65_536 else symbols
-        keys = (wide[:-1] << width) | wide[1:]
+    symbols, rules, top, done = ids.astype(np.uint32), [], base, 0
+    while len(symbols) > 1 and (rounds is None or done < rounds):
+        done += 1
+        width = 16 if top <= 65_536 else 32
+        wide = symbols if width == 16 else symbols.astype(np.uint64)
+        keys = (wide[:-1] << wide.dtype.type(width)) | wide[1:]
         inside = np.ones(len(symbols), dtype=bool)
         inside[starts[1:-1] - 1] = False
         inside = inside[:-1]
         ordered = np.sort(keys[inside])
-        if not len(ordered):
+        if len(ordered) < MIN_COUNT:
             break
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(first, append=len(ordered))
-        often = np.flatnonzero(counts >= MIN_COUNT)
+        # a pair in MIN_COUNT places spans so many equal keys in a row, so only such heads are looked at
+        often = np.flatnonzero(ordered[: len(ordered) - MIN_COUNT + 1] == ordered[MIN_COUNT - 1 :])
         if not len(often):
             break
-        if len(often) > room:
-            often = often[np.argpartition(-counts[often], room - 1)[:room]]
-        chosen = np.sort(ordered[first[often]])
-        mask = (1 << int(width)) - 1
-        left, right = (chosen >> width).astype(np.int64), (chosen & chosen.dtype.type(mask)).astype(np.int64)
+        often = often[np.concatenate([[True], ordered[often[1:]] != ordered[often[:-1]]])]
+        if len(often) > PER_ROUND:
+            counts = np.searchsorted(ordered, ordered[often], side="right") - often
+            often = np.sort(often[np.argpartition(-counts, PER_ROUND - 1)[:PER_ROUND]])
+        chosen = ordered[often]
+        left, right = (chosen >> chosen.dtype.type(width)).astype(np.int64), (chosen & chosen.dtype.type((1 << width) - 1)).astype(np.int64)
         lefts, row = np.unique(left, return_inverse=True)
         rights, column = np.unique(right, return_inverse=True)
-        row_of, column_of = np.zeros(top, dtype=np.int32), np.zeros(top, dtype=np.int32)
+        row_of, column_of = np.zeros(top, dtype=np.int16), np.zeros(top, dtype=np.int16)
         row_of[lefts], column_of[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
         rule_of = np.full((len(lefts) + 1) * (len(rights) + 1), -1, dtype=np.int16)  # at most 5,001 by 5,001
         rule_of[(row + 1) * (len(rights) + 1) + column + 1] = np.arange(len(chosen))
-        place = rule_of[row_of[symbols[:-1]] * (len(rights) + 1) + column_of[symbols[1:]]]
-        at = np.flatnonzero((place >= 0) & inside)
-        place = place[at]
-        if len(at):  # of neighbouring places, every other one from the left
-            run = np.concatenate([[True], np.diff(at) != 1])
-            head = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            take = (np.arange(len(at)) - head) % 2 == 0
-            at, place = at[take], place[take]
-        gain = len(at)
+        at = np.flatnonzero(inside & (row_of[symbols[:-1]] > 0) & (column_of[symbols[1:]] > 0))
+        place = rule_of[row_of[symbols[at]].astype(np.int64) * (len(rights) + 1) + column_of[symbols[at + 1]]]
+        at, place = at[place >= 0], place[place >= 0]
+        run = np.concatenate([[True], np.diff(at) != 1])  # of neighbouring places, every other one from the left
+        head = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+        take = (np.arange(len(at)) - head) % 2 == 0
+        at, place = at[take], place[take]
         symbols[at] = place.astype(np.uint32) + np.uint32(top)
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
-        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+        starts = starts - np.searchsorted(at + 1, starts)
         symbols = symbols[keep]
         rules.append(np.stack([left, right], axis=1))
         top += len(chosen)
-        if gain < 0.02 * len(symbols):
-            break
     made = np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.int64)
     return made.astype(np.uint32), symbols, starts
 
@@ -277,7 +270,7 @@ def write_shards(df: DataFrame, tokenizer: str, scratch: Scratch, name: str = "s
 
     small_batches(df.sparkSession)
     tie = F.xxhash64("text")
-    ranged = df.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    ranged = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     return scratch.save(ranged.mapInArrow(run, SHARD_SCHEMA), name, "none")
 
 
