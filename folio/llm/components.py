@@ -7,12 +7,12 @@ written to the shared folder after each pair of steps.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from .store import Scratch
 
-MAX_STEPS = 60
-
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -39,7 +39,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     current = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     current = scratch.save(current, f"{name}-0")
     before = None
-    for step in range(1, MAX_STEPS):
+    for step in count(1):  # until nothing changes: a few steps more than the logarithm of the longest path
         state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             break

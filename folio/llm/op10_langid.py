@@ -26,7 +26,6 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
-from .store import small_batches
 
 BUCKETS = 1 << 16
 DIM = 12
@@ -193,7 +192,6 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``rejected`` to the rows of df."""
-    small_batches(df.sparkSession)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     names = {f.name for f in fields}
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])

@@ -1,33 +1,40 @@
-"""Repeated passages across documents: paragraph MinHash, exact checks and removal by components.
-
-A paragraph is either a line of at least ``PARAGRAPH`` words, or the PARAGRAPH words that follow an
-anchor. Anchors are the places whose five-word shingle has the least hash among ``WINDOW`` consecutive
-places, so they depend on the words around them alone: a passage that stands in the middle of other
-text gives the same paragraphs wherever it stands. A passage of WINDOW - 1 + PARAGRAPH = 51 words or
-more shares at least one whole paragraph with each of its copies.
-
-Lines get MinHash signatures of their five-word shingles, 8 bands of 3 rows, tuned for recall: 99.7 % at
-similarity 0.8. Colliding lines are joined and confirmed by exact Jaccard (0.8 or more), as in op3_minhash. Paragraphs at
-anchors are alike only if all but their edges agree, so they are joined on the hash of all their words.
-
-Near copies in the middle of other text meet on seeds: SEED words after an anchor of SEED places. Copies of a
-passage at Jaccard 0.8 or more hold an equal run of 24 words (49 words may differ in one, 94 in two ...), and a
-run of 2 * SEED - 1 = 23 words holds a seed. Each place of a seed is aligned with the seed's first place, in the
-least doc_id, over REACH words on either side, and the longest aligned passage of PARAGRAPH words or more whose
-shingles have an exact Jaccard of 0.8 or more goes. A place is compared with the first one only: a passage
-all of whose seeds first stand in other text is missed.
-
-Linked paragraphs form components; each component stays in the document with the least doc_id and goes
-from all others. Repeats inside one document alone stay.
-
-Null and empty texts have no paragraphs. Rows that repeat a doc_id count as one document: they aren't
-repeats of each other; null doc_ids are one document too, after all others. Only doc_id and text are
-read; ``remove`` passes other columns through.
+"""Repeated passages across documents: paragraph MinHash, exact Jaccard and removal by components.
+
+Two kinds of paragraphs. A line of PARAGRAPH words or more has a MinHash signature of its five-word
+shingles, in 8 bands of 3 rows, tuned for recall: 99.7 % at similarity 0.8. Colliding lines are joined,
+confirmed by exact Jaccard (0.8 or more) and form components, as in op3_minhash.
+
+Passages also stand in the middle of lines and across them, so every run of 2 * SEED - 1 = 23 words is a
+paragraph too. Its signature is one minimum, of the hashes of its SEED-word shingles, and neighbouring
+paragraphs mostly share it: what is kept is each minimum's place, a seed. Equal runs of 23 words always
+share a seed, and copies of a passage at Jaccard 0.8 or more hold an equal run of 24 words (49 words may
+differ in one, 94 in two ...). Colliding paragraphs are joined with the seed's first place, in the least
+doc_id; both are aligned over REACH words beyond what they have in common, and the longest aligned passage
+of PARAGRAPH words or more whose shingles have an exact Jaccard of 0.8 or more goes.
+
+Passages all of whose seeds first stand in other text are found too where PARAGRAPH words are equal: the
+words after each seed, PARAGRAPH of them, are compared among all documents that share seeds at all. Near
+copies of that kind are the one thing missed.
+
+A passage stays in the document with the least doc_id of its component (lines) or with its first place, and
+goes from all others. Repeats inside one document alone stay.
+
+Seeds in a thousandth of all places or more, of which there are under a thousand, are known to every task and
+resolved while a document's seeds are one array; the others are joined by shuffling, so no group of copies
+meets in one task. Consecutive seeds that stand in the same order in the same document are one run, and one
+comparison.
+
+Null and empty texts have no paragraphs, texts of fewer than PARAGRAPH words neither. Very long texts are rows
+of their own size; comparisons see REACH words around a run. Rows that repeat a doc_id count as one document:
+they aren't repeats of each other; null doc_ids are one document too, after all others. Ties (equal seeds side
+by side) go to the leftmost place. Empty tables give empty tables. Only doc_id and text are read; ``remove``
+passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,43 +43,43 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .op3_minhash import Scheme, near_duplicates
-from .store import Scratch, small_batches
+from .op3_minhash import Scheme, linked_nodes, nodes_of
+from .store import Scratch
 
-SHINGLE, PARAGRAPH, WINDOW, PERCENT = 5, 28, 24, 80
+SHINGLE, PARAGRAPH, PERCENT = 5, 28, 80
 LINES = Scheme(24, 8, 3, plain=True)
 SEED, REACH, GAP, RESUME = 12, 96, 4, 4
 MAP_BITS, HOT_SHARE = 25, 1000
+DOC = ["doc_id", "text_hash"]
+SPANS = "array<struct<start:int,n_words:int,kept_in:long>>"
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _NO_DOC = (1 << 63) - 1
+_RIGHT = 0x5DEECE66D5DEECE6  # keys of runs' right ends
 _SEEDS = W.mix(np.arange(101, 101 + LINES.registers, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def anchors(grams: np.ndarray, n_words: int, window: int = WINDOW, size: int = PARAGRAPH) -> np.ndarray:
+def anchors(grams: np.ndarray, window: int = SEED) -> np.ndarray:
     """Places of the least shingle of each `window` places (leftmost of equals; in a run of equal neighbours
-    every window-th) from which `size` words follow."""
+    every window-th)."""
     if len(grams) <= window:
-        at = np.array([int(grams.argmin())])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(grams, window)
-        at = view.argmin(axis=1) + np.arange(len(view))
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    if len(at) > 1:
-        same = np.concatenate([[False], (np.diff(at) == 1) & (grams[at[1:]] == grams[at[:-1]])])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-        at = at[(np.arange(len(at)) - head) % window == 0]
-    return at[at <= n_words - size]
+        return np.array([int(grams.argmin())])
+    view = np.lib.stride_tricks.sliding_window_view(grams, window)
+    at = view.argmin(axis=1) + np.arange(len(view))
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    same = np.concatenate([[False], (np.diff(at) == 1) & (grams[at[1:]] == grams[at[:-1]])])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
+    return at[(np.arange(len(at)) - head) % window == 0]
 
 
 def signatures(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """MinHash signatures (len(starts), LINES.registers) of the shingles [start, end) of each line."""
-    cuts = np.stack([starts, ends], axis=1).reshape(-1)
+    edges = np.stack([starts, ends], axis=1).reshape(-1)
     padded = np.concatenate([grams, np.zeros(1, dtype=np.uint64)])  # so that an end may be the last place
     out = np.empty((len(starts), LINES.registers), dtype=np.uint64)
     for k, seed in enumerate(_SEEDS):
         x = (padded ^ seed) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        out[:, k] = np.minimum.reduceat(x, cuts)[::2]
+        out[:, k] = np.minimum.reduceat(x, edges)[::2]
     return out
 
 
@@ -85,165 +92,317 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+
+
+def _line_unit(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line, 1) - (1 << 63)
+
+
+def _lines(text: bytes) -> Iterator[list[bytes]]:
+    return (line.split() for line in text.lower().split(b"\n"))
+
+
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_hash, unit, start, n_words) for paragraphs at anchors and for seeds; for lines also the line, its
-    signature's low bits (registers) and its bands."""
-    schema = "doc_id long, text_hash long, unit long, start int, n_words int, line string, registers binary, bands array<long>"
-    small_batches(docs.sparkSession)
+    """Of each document its seeds (arrays starts and seeds) in one row; of each long line a row with its unit (hash),
+    start, n_shingles, its signature's low bits (registers) and its bands."""
+    schema = "doc_id long, text_hash long, starts array<int>, seeds array<long>, unit long, start int, n_shingles long, n_words int, registers binary, bands array<long>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+
+    def made(batch: pa.RecordBatch, owner: list[int], columns: dict) -> pa.RecordBatch:
+        at = pa.array(owner, pa.int32())
+        rest = [pa.array(columns[n], t) if n in columns else pa.nulls(len(owner), t) for n, t in zip(names[2:], types[2:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *rest], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in W.chunks(batches, "text"):
-            owner, units, starts, sizes = [], [], [], []
-            line_owner, line_units, line_starts, line_sizes, lines, gram_starts, grams, total = [], [], [], [], [], [], [], 0
+            owner, starts, seeds = [], [], []
+            line_owner, units, line_starts, sizes, gram_starts, grams, total = [], [], [], [], [], [], 0
             for i, text in enumerate(texts):
                 words: list[bytes] = []
-                for line in text.lower().split(b"\n") if text else []:
-                    own = line.split()
+                for own in _lines(text) if text else ():
                     if len(own) >= PARAGRAPH:
-                        joined = b" ".join(own)
                         line_owner.append(i)
-                        line_units.append(xxhash.xxh3_64_intdigest(joined, 1) - (1 << 63))
+                        units.append(_line_unit(b" ".join(own)))
                         line_starts.append(len(words))
                         gram_starts.append(total + len(words))
-                        line_sizes.append(len(own))
-                        lines.append(joined.decode("utf-8", "replace"))
+                        sizes.append(len(own))
                     words += own
                 if len(words) < PARAGRAPH:
                     continue
                 hashes = W.hash_words(words)
-                own_grams = W.windows(hashes, SHINGLE)
-                grams.append(own_grams)
-                total += len(own_grams)
-                for window, size in ((WINDOW, PARAGRAPH), (SEED, SEED)):
-                    at = anchors(own_grams if size != SEED else W.windows(hashes, SEED), len(words), window, size)
-                    acc = hashes[at]
-                    for j in range(1, size):
-                        acc = acc * np.uint64(0x9E3779B97F4A7C15) + hashes[at + j]
-                    owner.append(np.full(len(at), i, dtype=np.int32))
-                    units.append(W.mix(acc).view(np.int64))
-                    starts.append(at.astype(np.int32))
-                    sizes.append(np.full(len(at), size, dtype=np.int32))
-            if not units:
-                continue
-            n = sum(map(len, units))
-            take = pa.array(np.concatenate([*owner, np.array(line_owner, dtype=np.int32)]))
-            begin, own_sizes = np.array(gram_starts, dtype=np.int64), np.array(line_sizes, dtype=np.int64)
-            if len(lines):
-                mins = signatures(np.concatenate(grams), begin, begin + own_sizes - (SHINGLE - 1))
-                low, keys = mins.astype(np.uint16), band_keys(mins).tolist()
-            registers = [None] * n + ([r.tobytes() for r in low] if len(lines) else [])
-            bands = [None] * n + (keys if len(lines) else [])
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(take), batch.column(1).take(take),
-                pa.array(np.concatenate([*units, np.array(line_units, dtype=np.int64)])),
-                pa.array(np.concatenate([*starts, np.array(line_starts, dtype=np.int32)])),
-                pa.array(np.concatenate([*sizes, own_sizes.astype(np.int32)])),
-                pa.array([None] * n + lines, pa.string()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-            ], names=["doc_id", "text_hash", "unit", "start", "n_words", "line", "registers", "bands"])
-
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema)
+                long_grams = W.windows(hashes, SEED)
+                at = anchors(long_grams)
+                owner.append(i)
+                starts.append(at.astype(np.int32))
+                seeds.append(long_grams[at].view(np.int64))
+                if line_owner and line_owner[-1] == i:
+                    grams.append(W.windows(hashes, SHINGLE))
+                    total += len(grams[-1])
+            if owner:
+                yield made(batch, owner, {"starts": starts, "seeds": seeds})
+            if line_owner:
+                begin, n = np.array(gram_starts, dtype=np.int64), np.array(sizes, dtype=np.int64)
+                mins = signatures(np.concatenate(grams), begin, begin + n - (SHINGLE - 1))
+                low = mins.astype(np.uint16)
+                yield made(batch, line_owner, {"unit": units, "start": line_starts, "n_words": sizes, "n_shingles": n - (SHINGLE - 1), "registers": [r.tobytes() for r in low], "bands": band_keys(mins).tolist()})
+
+    return _keyed(docs).mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Per document (doc_id, text_hash) with passages to remove: spans, array of (start, n_words, kept_in),
     where kept_in is the doc_id that keeps the passage; spans may overlap."""
     scratch = scratch or Scratch(docs.sparkSession, "substring")
-    units = scratch.save(paragraph_table(docs), "paragraphs")
-    lines = units.where("line is not null")
-    sketches = lines.select(F.col("unit").alias("doc_id"), F.xxhash64("line").alias("text_hash"), (F.col("n_words") - (SHINGLE - 1)).cast("long").alias("n_shingles"), F.col("unit").alias("set_hash"), "registers", "bands")
-    lines = lines.select(F.col("unit").alias("doc_id"), F.col("line").alias("text"))
-    alike = near_duplicates(lines, SHINGLE, PERCENT, Scratch(docs.sparkSession, "substring-lines"), LINES, sketches, 0)
-    alike = alike.where("doc_id <> component_id").select(F.col("doc_id").alias("unit"), F.col("component_id").alias("group")).distinct()
-    place = ["doc_id", "text_hash", "start", "n_words"]
-    of_lines = units.where("line is not null").select(*place, "unit").join(alike, "unit", "left").select(*place, F.coalesce("group", "unit").alias("group"))
-    found = units.where(f"line is null and n_words = {PARAGRAPH}").select(*place, F.col("unit").alias("group")).unionByName(scratch.save(of_lines, "lines"))
-    repeated = found.groupBy("group").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("kept_in < last").select("group", "kept_in", "n")
-    repeated = scratch.save(repeated, "repeated")
-    gone = _joined(_possible(found, repeated), repeated, units.count())
-    gone = gone.where("doc_id <> kept_in").select(*place, "kept_in")
-    gone = scratch.save(gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words", "kept_in")).alias("spans")), "equal")
-    near = near_spans(docs, units.where(f"line is null and n_words = {SEED}").select(*place, F.col("unit").alias("group")), gone, scratch)
-    both = gone.unionByName(near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words", "kept_in")).alias("spans")))
-    return both.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-
-
-def near_spans(docs: DataFrame, seeds: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (doc_id, text_hash, start, n_words, kept_in) of passages that are near copies around a seed's first place.
-
-    seeds: (doc_id, text_hash, start, n_words, group); gone: (doc_id, text_hash, spans) that go anyway: seeds
-    amid them, PARAGRAPH words from their ends, aren't compared."""
-    first, total = F.struct("doc_id", "text_hash", "start"), seeds.count()
-    repeated = seeds.groupBy("group").agg(F.min(first).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first.doc_id < last").select("group", "first", "n")
-    repeated = scratch.save(repeated, "seeds")
-    places = _joined(_possible(seeds, repeated), repeated, total, "first").where("doc_id <> first.doc_id")
-    of_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "group", "first")).alias("places")).join(gone, ["doc_id", "text_hash"], "left")
-    of_doc = of_doc.select("doc_id", "text_hash", "places", F.transform("spans", lambda s: F.struct(s["start"], s["n_words"])).alias("spans"))
-    schema = "doc_id long, text_hash long, start int, group long, first struct<doc_id:long,text_hash:long,start:int>"
-
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text_hash, found, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs = merged([(s["start"], s["n_words"]) for s in spans or []])
-                for x in found:
-                    low, high = max(0, x["start"] - PARAGRAPH), x["start"] + SEED + PARAGRAPH
-                    if not any(a <= low and high <= b for a, b in runs):
-                        rows.append((doc, text_hash, x["start"], x["group"], x["first"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()),
-                    pa.array([r[4] for r in rows], pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32())])),
-                ], names=["doc_id", "text_hash", "start", "group", "first"])
-
-    open_ = scratch.save(of_doc.mapInArrow(outside, schema), "open")
-    scratch.drop("paragraphs", "lines", "repeated", "seeds")  # nothing reads them any more
-    firsts = open_.select("group", "first").distinct().select("first.*", "group", F.lit(True).alias("is_first"))
-    asked = open_.select("doc_id", "text_hash", "start", "group", F.lit(False).alias("is_first")).unionByName(firsts)
-    asked = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "group", "is_first")).alias("asked"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    around = scratch.save(texts.join(asked, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "asked", "text").mapInArrow(_surroundings, "group long, is_first boolean, doc_id long, text_hash long, start int, at int, around binary"), "around")
-    sizes = open_.groupBy("group").agg(F.count("*").alias("n"))
-    leads = around.where("is_first").dropDuplicates(["group"]).select("group", F.struct("doc_id", "at", "around").alias("lead")).join(sizes, "group")
-    pairs = _joined(around.where("not is_first"), scratch.save(leads, "leads"), open_.count(), "lead")
-    pairs = pairs.select("doc_id", "text_hash", "start", "at", "around", F.col("lead.doc_id").alias("kept_in"), F.col("lead.at").alias("at_b"), F.col("lead.around").alias("b"))
-    return pairs.mapInArrow(_near, "doc_id long, text_hash long, start int, n_words int, kept_in long")
-
-
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text_hash, asked, text) to hashes of the words around each place asked for."""
+    table = scratch.save(paragraph_table(docs), "paragraphs")
+    of_lines = scratch.save(line_spans(docs, table.where("unit is not null"), scratch), "of-lines")
+    aligned, rest = seed_spans(docs, table.where("seeds is not null"), scratch)
+    parts = of_lines.unionByName(aligned).unionByName(rest)
+    found = scratch.save(parts.where("size(spans) > 0").groupBy(*DOC).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+    scratch.drop("paragraphs", "of-lines", "lines", "repeated", "possible", "places", "leads", "runs", "contexts", "ends", "aligned")
+    return found
+
+
+def line_spans(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per document the lines that near copies of them in documents with a smaller doc_id make superfluous."""
+    sketches = lines.select(*DOC, "n_shingles", F.col("unit").alias("set_hash"), "registers", "bands")
+    nodes = scratch.save(nodes_of(sketches), "lines")
+
+    def find(needed: DataFrame) -> DataFrame:
+        asked = needed.groupBy(*DOC).agg(F.collect_list("node").alias("asked"))  # lines of one document
+        return _texts(docs, asked).select("asked", "text").mapInArrow(_asked_lines, "node long, text binary")
+
+    labels = linked_nodes(nodes, find, Scratch(docs.sparkSession, "substring-lines"), SHINGLE, PERCENT, LINES)
+    members = nodes.select("node", "least", "n").join(labels, "node")
+    names = members.groupBy("component").agg(F.min("least").alias("kept_in"))
+    named = members.join(names, "component").select(F.col("node").alias("group"), "kept_in", "n")
+    places = lines.select(*DOC, "start", "n_words", F.col("unit").alias("group"))
+    gone = _joined(places, named, lines.count()).where("doc_id <> kept_in")
+    return gone.groupBy(*DOC).agg(F.collect_set(F.struct("start", "n_words", "kept_in")).alias("spans"))
+
+
+def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in W.chunks(batches, "text"):
-        rows = []
-        for doc, text_hash, asked, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts, strict=True):
-            hashes = W.hash_words(text.lower().split())
-            for x in asked:
-                low = max(0, x["start"] - REACH)
-                rows.append((x["group"], x["is_first"], doc, text_hash, x["start"], x["start"] - low, hashes[low : x["start"] + SEED + REACH].tobytes()))
-                if len(rows) == 1000:
-                    yield _place_rows(rows)
-                    rows = []
-        if rows:
-            yield _place_rows(rows)
-
-
-def _place_rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["group", "is_first", "doc_id", "text_hash", "start", "at", "around"])
+        nodes, lines = [], []
+        for asked, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            open_ = set(asked)
+            for own in _lines(text):
+                if len(own) >= PARAGRAPH and (unit := _line_unit(line := b" ".join(own))) in open_:
+                    open_.remove(unit)
+                    nodes.append(unit)
+                    lines.append(line)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary())], names=["node", "text"])
+
+
+def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked, one row per (doc_id, text_hash), with the document's text. Only documents that a bit map of fixed
+    size lets through are shuffled."""
+    size = MAP_BITS - 3
+    place = f"shiftrightunsigned(xxhash64(doc_id, text_hash), {64 - size})"
+    bits = _bit_table(asked.select(F.xxhash64(*DOC).alias("group")), size)
+    texts = _keyed(docs).where("text is not null").withColumn("word", F.expr(f"shiftrightunsigned({place}, 6)"))
+    texts = texts.join(F.broadcast(bits), "word").where(f"shiftright(bits, cast({place} & 63 as int)) & 1 = 1")
+    return asked.join(texts.select(*DOC, "text").dropDuplicates(DOC), DOC)
+
+
+def _bit_table(groups: DataFrame, size: int = MAP_BITS) -> DataFrame:
+    """A bit map of 2 ** size places of the groups' high bits, as rows (word, bits): at most 2 ** (size - 6)."""
+    place = F.shiftrightunsigned("group", 64 - size)
+    return groups.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(group, {64 - size}) & 63 as int)))").alias("bits"))
+
+
+def seed_spans(docs: DataFrame, table: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Per document the passages around seeds that stand in documents with a smaller doc_id too: those aligned with
+    the seed's first place, and equal ones among the others."""
+    repeated = table.select("doc_id", F.explode("seeds").alias("group")).groupBy("group")
+    repeated = scratch.save(repeated.agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("kept_in < last").drop("last"), "repeated")
+    total = table.agg(F.sum(F.size("seeds").cast("long"))).first()[0] or 0
+    hot = sorted((r["group"], r["kept_in"]) for r in repeated.where(F.col("n") > total / HOT_SHARE).collect())  # under HOT_SHARE rows
+    rest = repeated.where(F.col("n") <= total / HOT_SHARE).select("group", "kept_in")
+    possible = scratch.save(_possible(table, rest, hot).dropDuplicates(DOC), "possible")
+    places = scratch.save(possible.select(*DOC, F.explode("rest").alias("p")).select(*DOC, "p.start", "p.group").join(rest, "group"), "places")
+
+    first = places.where("doc_id = kept_in").select("group", *DOC, "start")
+    first = first.unionByName(possible.select(*DOC, F.explode(F.filter("hot", lambda p: p["kept_in"] == F.col("doc_id"))).alias("p")).select("p.group", *DOC, "p.start"))
+    leads = scratch.save(first.groupBy("group").agg(F.min(F.struct("text_hash", "start")).alias("lead")), "leads")
+    hot_leads = sorted((r["group"], r["lead"]["text_hash"], r["lead"]["start"]) for r in leads.where(F.col("group").isin([g for g, _ in hot])).collect()) if hot else []
+
+    others = places.where("doc_id <> kept_in").join(leads, "group").select(*DOC, F.struct("start", "group", "kept_in", "lead.text_hash", F.col("lead.start").alias("lead_start")).alias("p"))
+    by_doc = others.groupBy(*DOC).agg(F.collect_list("p").alias("rest"))  # at most as many as the document has seeds
+    hot_places = possible.select(*DOC, F.filter("hot", lambda p: p["kept_in"] != F.col("doc_id")).alias("hot")).where("size(hot) > 0")
+    runs = scratch.save(_runs_of(by_doc.join(hot_places, DOC, "full"), hot_leads), "runs")
+
+    ends = runs.select(*DOC, F.explode("ends").alias("e")).select(*DOC, F.col("e.group").alias("group"), "e.lead_doc", "e.lead_hash", "e.at")
+    ends = scratch.save(ends, "ends")
+    asked = ends.groupBy("group").agg(F.min("lead_doc").alias("doc_id"), F.min("lead_hash").alias("text_hash"), F.min("at").alias("at"), F.count("*").alias("n"))
+    asked = asked.groupBy(*DOC).agg(F.collect_list(F.struct("group", "at", "n")).alias("asked"))  # ends of seeds of one document
+    contexts = _texts(docs, asked).select("asked", "text").mapInArrow(_contexts, "group long, n long, words binary")
+    near = _joined(ends.select(*DOC, "group"), scratch.save(contexts, "contexts"), ends.count(), "words")
+    near = near.groupBy(*DOC).agg(F.collect_list(F.struct("group", "words")).alias("near"))
+    work = runs.select(*DOC, "starts", "runs").join(near, DOC)
+    aligned = _texts(docs, work).select(*DOC, "starts", "runs", "near", "text").mapInArrow(_aligned, f"doc_id long, text_hash long, spans {SPANS}, after array<struct<start:int,group:long,open:boolean>>")
+    aligned = scratch.save(aligned, "aligned")
+    return aligned.select(*DOC, "spans"), _equal_after(aligned)
+
+
+def _equal_after(aligned: DataFrame) -> DataFrame:
+    """Per document the PARAGRAPH words after seeds that are equal in documents with a smaller doc_id, where any of
+    those seeds is open: in no passage found so far."""
+    after = aligned.select(*DOC, F.explode("after").alias("a")).select(*DOC, "a.*")
+    again = after.groupBy("group").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.max(F.col("open").cast("int")).alias("open"), F.count("*").alias("n"))
+    again = again.where("kept_in < last and open = 1").select("group", "kept_in", "n")
+    gone = _joined(after.drop("open"), again, 0).where("doc_id <> kept_in")
+    return gone.groupBy(*DOC).agg(F.collect_set(F.struct("start", F.lit(PARAGRAPH).alias("n_words"), "kept_in")).alias("spans"))
+
+
+def _lists(flat: list[pa.Array], names: list[str], keep: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """Lists of structs by owner row (ascending), of the flat values that stay."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=n))]).astype(np.int32)
+    mask = pa.array(keep)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([c.filter(mask) for c in flat], names=names))
+
+
+def _possible(table: DataFrame, rest: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """Per document its seeds that may be in rest (by a bit map of fixed size, 4 MB) and those that are hot."""
+    packed = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    rows = _bit_table(rest).toArrow()  # at most 2 ** (MAP_BITS - 6) rows of 16 bytes
+    packed[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    shared = table.sparkSession.sparkContext.broadcast((packed, np.array([g for g, _ in hot], dtype=np.int64), np.array([k for _, k in hot], dtype=np.int64)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, groups, kept = shared.value
+        for batch in batches:
+            starts, seeds = batch.column(2).flatten(), batch.column(3).flatten()
+            values = seeds.to_numpy()
+            sizes = np.diff(batch.column(3).offsets.to_numpy())
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            place = values.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            is_rest = (packed[(place >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) == 1
+            at = np.minimum(np.searchsorted(groups, values), max(0, len(groups) - 1))
+            is_hot = groups[at] == values if len(groups) else np.zeros(len(values), dtype=bool)
+            keeper = pa.array(kept[at] if len(groups) else np.zeros(len(values), dtype=np.int64))
+            any_ = np.zeros(batch.num_rows, dtype=bool)
+            any_[owner[is_rest | is_hot]] = True
+            out = pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), _lists([starts, seeds], ["start", "group"], is_rest & ~is_hot, owner, batch.num_rows),
+                _lists([starts, seeds, keeper], ["start", "group", "kept_in"], is_hot, owner, batch.num_rows),
+            ], names=[*DOC, "rest", "hot"])
+            yield out.filter(pa.array(any_))
+
+    return table.select(*DOC, "starts", "seeds").mapInArrow(run, "doc_id long, text_hash long, rest array<struct<start:int,group:long>>, hot array<struct<start:int,group:long,kept_in:long>>")
+
+
+def _runs_of(by_doc: DataFrame, hot_leads: list[tuple[int, int, int]]) -> DataFrame:
+    """Per document: starts of its seeds that stand first in other documents, runs of them that stand in the same order
+    in the same document (with keys of both ends), and what is asked about each end's first place."""
+    shared = by_doc.sparkSession.sparkContext.broadcast({g: (h, s) for g, h, s in hot_leads})  # under HOT_SHARE entries
+    schema = "doc_id long, text_hash long, starts array<int>, runs array<struct<start:int,stop:int,kept_in:long,left:long,right:long>>, ends array<struct<group:long,lead_doc:long,lead_hash:long,at:int>>"
+    run_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kept_in", pa.int64()), ("left", pa.int64()), ("right", pa.int64())]))
+    end_type = pa.list_(pa.struct([("group", pa.int64()), ("lead_doc", pa.int64()), ("lead_hash", pa.int64()), ("at", pa.int32())]))
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-    for batch in batches:
-        rows = []
-        for doc, text_hash, start, at, a, kept_in, at_b, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            span = near_passage(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), at, at_b)
-            if span:
-                rows.append((doc, text_hash, start - at + span[0], span[1] - span[0], kept_in))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "text_hash", "start", "n_words", "kept_in"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads = shared.value
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                starts, runs, ends = [], [], []
+                for rest, hot in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    places = [(p["start"], p["group"], p["kept_in"], p["text_hash"], p["lead_start"]) for p in rest or []]
+                    places += [(p["start"], p["group"], p["kept_in"], *leads[p["group"]]) for p in hot or []]
+                    places.sort()
+                    starts.append([p[0] for p in places])
+                    mine = open_runs(places)
+                    runs.append([(a[0], b[0] + SEED, a[2], a[1], b[1] ^ _RIGHT) for a, b in mine])
+                    asked = {a[1]: (a[2], a[3], a[4]) for a, _ in mine} | {b[1] ^ _RIGHT: (b[2], b[3], b[4] + SEED) for _, b in mine}
+                    ends.append([(g, *x) for g, x in asked.items()])
+                names = [["start", "stop", "kept_in", "left", "right"], ["group", "lead_doc", "lead_hash", "at"]]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32())),
+                    *(pa.array([[dict(zip(n, x, strict=True)) for x in row] for row in rows], t) for rows, n, t in ((runs, names[0], run_type), (ends, names[1], end_type))),
+                ], names=[*DOC, "starts", "runs", "ends"])
+
+    return by_doc.select(*DOC, "rest", "hot").mapInArrow(run, schema)
+
+
+def open_runs(places: list[tuple]) -> list[tuple[tuple, tuple]]:
+    """First and last places (start, group, lead doc, lead hash, lead start) of runs along one diagonal without a
+    gap: all words from the first to the last are equal to the lead's. Runs of fewer than PARAGRAPH words that
+    lie amid longer ones, PARAGRAPH words from their ends, are left out."""
+    runs: list[list[tuple]] = []
+    last: dict[tuple, list[tuple]] = {}
+    for p in places:
+        diagonal = (p[2], p[3], p[0] - p[4])
+        now = last.get(diagonal)
+        if now is not None and p[0] - now[1][0] <= SEED:
+            now[1] = p
+        else:
+            last[diagonal] = now = [p, p]
+            runs.append(now)
+    sure = merged([(a[0], b[0] + SEED - a[0]) for a, b in runs if b[0] + SEED - a[0] >= PARAGRAPH])
+    begins = [a for a, _ in sure]
+    out = []
+    for a, b in runs:
+        if b[0] + SEED - a[0] < PARAGRAPH:
+            k = bisect_right(begins, a[0] - PARAGRAPH) - 1
+            if k >= 0 and b[0] + SEED + PARAGRAPH <= sure[k][1]:
+                continue
+        out.append((a, b))
+    return out
 
 
-def _runs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (asked, text) to the hashes of the REACH words before each place asked for, or after it (right ends)."""
+    for batch, texts in W.chunks(batches, "text"):
+        groups, counts, words = [], [], []
+        for asked, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            hashes = W.hash_words(text.lower().split())
+            grams = W.windows(hashes, SEED).view(np.int64)
+            for x in asked:
+                at = x["at"]
+                left = at < len(grams) and int(grams[at]) == x["group"]
+                groups.append(x["group"])
+                counts.append(x["n"])
+                words.append((hashes[max(0, at - REACH) : at] if left else hashes[at : at + REACH]).tobytes())
+                if len(groups) == 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(counts, pa.int64()), pa.array(words, pa.binary())], names=["group", "n", "words"])
+                    groups, counts, words = [], [], []
+        if groups:
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(counts, pa.int64()), pa.array(words, pa.binary())], names=["group", "n", "words"])
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text_hash, starts, runs, near, text) to passages that go, and units of the words after seeds."""
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("kept_in", pa.int64())]))
+    after_type = pa.list_(pa.struct([("start", pa.int32()), ("group", pa.int64()), ("open", pa.bool_())]))
+    for batch, texts in W.chunks(batches, "text"):
+        spans, after = [], []
+        for starts, runs, near, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), texts, strict=True):
+            hashes = W.hash_words(text.lower().split())
+            beside = {x["group"]: np.frombuffer(x["words"], dtype=np.uint64) for x in near}
+            found = set()
+            for r in runs:
+                span = passage(hashes, r["start"], r["stop"], beside[r["left"]], beside[r["right"]])
+                if span:
+                    found.add((span[0], span[1] - span[0], r["kept_in"]))
+            spans.append([{"start": a, "n_words": n, "kept_in": k} for a, n, k in sorted(found)])
+            cover = merged([(a, n) for a, n, _ in found])
+            begins = [a for a, _ in cover]
+            units = W.windows(hashes, PARAGRAPH).view(np.int64)
+            after.append([{"start": s, "group": int(units[s]), "open": not ((k := bisect_right(begins, s) - 1) >= 0 and s + SEED <= cover[k][1])} for s in starts if s < len(units)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(after, after_type)], names=[*DOC, "spans", "after"])
+
+
+def passage(hashes: np.ndarray, start: int, stop: int, left: np.ndarray, right: np.ndarray) -> tuple[int, int] | None:
+    """The longest passage (start, stop) of a text around a run whose words are another text's too; left and right
+    are the other text's words before and after the run."""
+    low = max(0, start - REACH)
+    span = near_passage(hashes[low : stop + REACH], np.concatenate([left, hashes[start:stop], right]), start - low, len(left))
+    return (low + span[0], low + span[1]) if span else None
+
+
+def _equal_runs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Ends (in a, in b) of the equal runs from the front of both, over gaps of up to GAP words in either."""
     i = j = 0
     out = []
@@ -262,8 +421,8 @@ def near_passage(a: np.ndarray, b: np.ndarray, at: int, at_b: int) -> tuple[int,
     """The longest (start, end) in a, around the words that both have in common from at and at_b, that is alike
     to its aligned passage in b."""
     x, y = a.tolist(), b.tolist()
-    right = [(at + i, at_b + j) for i, j in _runs(x[at:], y[at_b:])]
-    left = [(at - i, at_b - j) for i, j in _runs(x[:at][::-1], y[:at_b][::-1])]
+    right = [(at + i, at_b + j) for i, j in _equal_runs(x[at:], y[at_b:])]
+    left = [(at - i, at_b - j) for i, j in _equal_runs(x[:at][::-1], y[:at_b][::-1])]
     if right[-1][0] - left[-1][0] < PARAGRAPH:
         return None
     grams_a, grams_b = W.windows(a, SHINGLE), W.windows(b, SHINGLE)
@@ -275,44 +434,14 @@ def near_passage(a: np.ndarray, b: np.ndarray, at: int, at_b: int) -> tuple[int,
     return None
 
 
-def _possible(found: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The rows whose group may be repeated, by a bit map of fixed size (4 MB) of the repeated groups."""
-
-    def place(groups: np.ndarray) -> np.ndarray:
-        return (groups.astype(np.int64).view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS, dtype=bool)
-        for batch in batches:
-            bits[place(np.asarray(batch.column(0)))] = True
-        packed = np.packbits(bits)
-        for part in range(0, len(packed), 1 << 16):  # only the parts with a bit set
-            if packed[part : part + (1 << 16)].any():
-                yield pa.RecordBatch.from_pydict({"part": [part], "bits": [packed[part : part + (1 << 16)].tobytes()]}, schema=pa.schema([("part", pa.int32()), ("bits", pa.binary())]))
-
-    words = repeated.select("group").coalesce(4).mapInArrow(fold, "part int, bits binary")
-    packed = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
-    for row in words.toLocalIterator():
-        at = row["part"]
-        packed[at : at + (1 << 16)] |= np.frombuffer(row["bits"], dtype=np.uint8)
-    shared = found.sparkSession.sparkContext.broadcast(packed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = shared.value
-        for batch in batches:
-            at = place(np.asarray(batch.column(batch.schema.get_field_index("group"))))
-            keep = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(keep.astype(bool)))
-
-    return found.mapInArrow(run, found.schema)
-
-
 def _joined(found: DataFrame, repeated: DataFrame, total: int, value: str = "kept_in") -> DataFrame:
-    """found with the value of its group. Groups with over a HOT_SHARE-th of all paragraphs, of which there are fewer than
-    HOT_SHARE, are joined by broadcast; the others by shuffling, so no task gets more than such a group."""
-    hot = repeated.where(F.col("n") > total / HOT_SHARE).select("group", value)
-    common = F.broadcast(hot)
-    rest = repeated.where(F.col("n") <= total / HOT_SHARE).select("group", value)
+    """found with the value of its group. Groups with over a HOT_SHARE-th of all places, of which there are fewer than
+    HOT_SHARE, are joined by broadcast; the others by shuffling, so no task gets more than such a group. Without
+    a total all are shuffled."""
+    rest = repeated.select("group", value) if not total else repeated.where(F.col("n") <= total / HOT_SHARE).select("group", value)
+    if not total:
+        return found.join(rest, "group")
+    common = F.broadcast(repeated.where(F.col("n") > total / HOT_SHARE).select("group", value))
     return found.join(common, "group").unionByName(found.join(common.select("group"), "group", "left_anti").join(rest, "group"))
 
 
@@ -341,21 +470,20 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove(docs: DataFrame, scratch: Scratch | None = None, text: str = "text") -> DataFrame:
     """docs with their repeated passages cut out of the text; every row and column stays."""
     own = docs.select(F.col("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    spans = repeated_spans(own, scratch).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash", "spans": "__spans"})
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC))).withColumn("__text_hash", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    joined = keyed.join(spans, (F.col("__key") == F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left").drop("__key", "__text_hash", "__doc", "__hash")
-    joined = joined.withColumn("__spans", F.transform("__spans", lambda s: F.struct(s["start"], s["n_words"])))
-    schema = docs.schema
+    spans = repeated_spans(own, scratch).select(*DOC, F.transform("spans", lambda s: F.struct(s["start"], s["n_words"])).alias("spans"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"), F.struct("*").alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
+    joined = rows.join(spans, DOC, "left").select("row", "spans", "text")
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index(text)
-            texts, lists = batch.column(k).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            new = [t if not s else cut(t.encode(), [tuple(x.values()) for x in s]).decode() for t, s in zip(texts, lists, strict=True)]
-            columns = [pa.array(new, pa.string()) if i == k else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        for batch, texts in W.chunks(batches, "text"):
+            new = [t.decode() if t is not None and not s else t if t is None else cut(t, [tuple(x.values()) for x in s]).decode() for t, s in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            row = batch.column(0)
+            columns = row.flatten()
+            columns[place] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in row.type])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ unless they are all it has. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .components import components
-from .store import Scratch, small_batches
-
+from .store import Scratch
 
 
 class Scheme(NamedTuple):
@@ -144,7 +143,6 @@ def sketch_table(docs: DataFrame, shingle: int, scheme: Scheme = DOCUMENTS) -> D
                 pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
             ], names=["doc_id", "text_hash", "n_shingles", "set_hash", "registers", "bands"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, schema)
 
@@ -175,14 +173,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", np.empty(0, dtype=np.uint64))
-        for batch in batches:
-            hits = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if y != last[0]:
-                    last = y, W.shingles(y, shingle)
-                hits.append(linked(W.shingles(x, shingle), last[1], percent))
-            keep = pa.array(hits, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+        for whole in batches:
+            for start, stop in W.cuts(W.byte_sizes(whole.column(2)) + W.byte_sizes(whole.column(3)), BLOCK_BYTES):
+                batch, hits = whole.slice(start, stop - start), []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    if y != last[0]:
+                        last = y, W.shingles(y, shingle)
+                    hits.append(linked(W.shingles(x, shingle), last[1], percent))
+                keep = pa.array(hits, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
     return joined.select("a", "b", "t_a", "t_b").mapInArrow(run, "u long, v long")
 
@@ -206,8 +205,9 @@ class _Block:
 def _block_links(rest: _Block, members: _Block, band: int, floor: float, percent: int, scheme: Scheme) -> list[tuple[int, int]]:
     """Links between the rest and the members that join different components, found in this block.
 
-    Pairs that already collide in an earlier band are left to that band's bucket; once a link joins two
-    components here, their other pairs are passed over.
+    Pairs that already collide in an earlier band are left to that band's bucket, where registers tell (plain
+    ones are low bits of what makes the bands, so they don't); once a link joins two components here, their
+    other pairs are passed over.
     """
     if not rest.nodes or not members.nodes:
         return []
@@ -225,7 +225,7 @@ def _block_links(rest: _Block, members: _Block, band: int, floor: float, percent
     label_r, node_r = np.array(members.labels), np.array(members.nodes)
     for i in range(len(left)):
         other = label_r != rest.labels[i]
-        earlier = (bands_r[:, :band] == left[i].reshape(scheme.bands, scheme.rows)[None, :band]).all(axis=2).any(axis=1) if band else np.zeros(len(right), dtype=bool)
+        earlier = (bands_r[:, :band] == left[i].reshape(scheme.bands, scheme.rows)[None, :band]).all(axis=2).any(axis=1) if band and not scheme.plain else np.zeros(len(right), dtype=bool)
         at = np.flatnonzero(other & ~earlier & (np.minimum(sizes_l[i], sizes_r) * 100 >= percent * np.maximum(sizes_l[i], sizes_r)))
         if not len(at):
             continue
@@ -263,7 +263,7 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rest, members, band, size = None, _Block(), _Block(), 0, 0
+        at, rest, members, band, size, held = None, _Block(), _Block(), 0, 0, 0
         kept: dict[int, np.ndarray] = {}
         out: list[tuple[int, int]] = []
 
@@ -272,24 +272,24 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
             out.extend(_block_links(rest, members, band, floor, percent, scheme))
             members, size = _Block(), 0
 
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for key, i, j, side, b, node, label, registers, text in zip(*columns, strict=True):
-                if (key, i, j) != at:
+        for key, i, j, side, b, node, label, registers, text in (row for x in batches for start, stop in W.cuts(W.byte_sizes(x.column(8)), BLOCK_BYTES) for row in zip(*(c.slice(start, stop - start).to_pylist() for c in x.columns), strict=True)):
+            if (key, i, j) != at:
+                compare()
+                at, rest, band = (key, i, j), _Block(), b
+            if node not in kept:
+                if len(kept) >= 2 * BLOCK_ROWS or held >= 2 * BLOCK_BYTES:
+                    kept.clear()
+                    held = 0
+                kept[node] = W.shingles(text, shingle)
+                held += kept[node].nbytes
+            if side == 0:
+                rest.add(node, label, registers, kept[node])
+            else:
+                members.add(node, label, registers, kept[node])
+                size += len(text)
+                if len(members.nodes) >= BLOCK_ROWS or size >= BLOCK_BYTES:
                     compare()
-                    at, rest, band = (key, i, j), _Block(), b
-                if node not in kept:
-                    if len(kept) >= 2 * BLOCK_ROWS:
-                        kept.clear()
-                    kept[node] = W.shingles(text, shingle)
-                if side == 0:
-                    rest.add(node, label, registers, kept[node])
-                else:
-                    members.add(node, label, registers, kept[node])
-                    size += len(text)
-                    if len(members.nodes) >= BLOCK_ROWS or size >= BLOCK_BYTES:
-                        compare()
-            if out:
+            if len(out) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
                 out.clear()
         compare()
@@ -299,25 +299,19 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     return full.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None, scheme: Scheme = DOCUMENTS, rows: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id.
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """Equal sets of the sketches as one node each: node, least doc_id, one row, n rows, and the set's sketch."""
+    return rows.where("set_hash is not null").groupBy(F.col("set_hash").alias("node")).agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"),
+    )
 
-    Documents are linked when 100 * intersection >= percent * union of their shingle sets, and
-    component_id is the least doc_id reachable over links. Rows without a set name themselves. rows: the
-    sketches of docs as sketch_table gives them, where they are at hand. Up to broadcast_rows nodes that
-    collide (24 bytes each) find their texts by broadcast, more by shuffling.
+
+def linked_nodes(nodes: DataFrame, find: Callable[[DataFrame], DataFrame], scratch: Scratch, shingle: int, percent: int, scheme: Scheme = DOCUMENTS) -> DataFrame:
+    """Rows (node, component) of the nodes that are linked to another; component is the least node reachable.
+
+    find: from (node, doc_id, text_hash) of the nodes that collide, (node, text) with their whole texts.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "near")
     floor = floor_for(percent / 100, scheme)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if rows is None:
-        rows = scratch.save(sketch_table(docs, shingle, scheme), "sketches")
-    sets = rows.where("set_hash is not null")
-    nodes = scratch.save(sets.groupBy(F.col("set_hash").alias("node")).agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"),
-    ), "nodes")
-
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     lead = keys.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("x"), F.count("*").alias("n")).where("n > 1")
     lead = lead.select("key", F.col("x").bitwiseXOR(F.col("key")).alias("leader"))
@@ -326,13 +320,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     stars = scratch.save(_estimated(stars, nodes, floor, scheme), "stars")
 
     needed = buckets.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", "row.doc_id", "row.text_hash")
-    needed = scratch.save(needed, "needed")
-    if broadcast_rows and needed.count() <= broadcast_rows:
-        needed = F.broadcast(needed)
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(needed["doc_id"]) & (keyed["text_hash"] == needed["text_hash"])
-    texts = keyed.join(needed, same).select("node", keyed["text"].cast("binary").alias("text"))
-    texts = scratch.save(texts.dropDuplicates(["node"]), "texts")
+    texts = scratch.save(find(scratch.save(needed, "needed")).dropDuplicates(["node"]), "texts")
 
     best = stars.select(F.col("a").alias("node"), F.struct("estimate", "a", "b").alias("s")).unionByName(stars.select(F.col("b").alias("node"), F.struct("estimate", "a", "b").alias("s")))
     first = best.groupBy("node").agg(F.max("s").alias("s")).select("s.a", "s.b").distinct()
@@ -341,17 +329,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     of = labels.select("node", "component")
     open_pairs = stars.join(of.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b", "left")
     open_pairs = open_pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(scratch.save(_confirmed(open_pairs, texts, shingle, percent), "links-2"))
-    labels = scratch.save(components(links, scratch, "cc-2"), "labels-2")
+    labels = _joined_labels(labels, scratch.save(_confirmed(open_pairs, texts, shingle, percent), "links-2"), scratch, 2)
     rest = scratch.save(_rest_links(buckets, labels, nodes, texts, scratch, shingle, percent, floor, scheme), "links-3")
-    if rest.head(1):
-        links = links.unionByName(rest)
-        labels = scratch.save(components(links, scratch, "cc-3"), "labels-3")
+    labels = _joined_labels(labels, rest, scratch, 3)
+    scratch.drop("buckets", "stars", "needed", "texts", "links-1", "links-2", "links-3", "labelled")
+    return labels
+
+
+def _joined_labels(labels: DataFrame, links: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """The labels after more links: components start from each node's present label, not from all links."""
+    if not links.head(1):
+        return labels
+    stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return scratch.save(components(stars.unionByName(links), scratch, f"cc-{k}"), f"labels-{k}")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None, scheme: Scheme = DOCUMENTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id.
+
+    Documents are linked when 100 * intersection >= percent * union of their shingle sets, and
+    component_id is the least doc_id reachable over links. Rows without a set name themselves. Up to
+    broadcast_rows nodes that collide (24 bytes each) find their texts by broadcast, more by shuffling.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "near")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = scratch.save(sketch_table(docs, shingle, scheme), "sketches")
+    nodes = scratch.save(nodes_of(rows), "nodes")
+
+    def find(needed: DataFrame) -> DataFrame:
+        if needed.count() <= broadcast_rows:
+            needed = F.broadcast(needed)
+        keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+        same = keyed["doc_id"].eqNullSafe(needed["doc_id"]) & (keyed["text_hash"] == needed["text_hash"])
+        return keyed.join(needed, same).select("node", keyed["text"].cast("binary").alias("text"))
 
+    labels = linked_nodes(nodes, find, scratch, shingle, percent, scheme)
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = scratch.save(named.join(names, "component").select("node", "component_id"), "named")
-    scratch.drop("buckets", "stars", "needed", "texts", "links-1", "links-2", "links-3", "labels-1", "labels-2", "labels-3", "labelled", "nodes")
+    scratch.drop("labels-1", "labels-2", "labels-3", "nodes")
     found = rows.select("doc_id", "text_hash", "n_shingles", "set_hash").join(named, F.col("set_hash") == F.col("node"), "left")
     return found.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -27,7 +27,6 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
-from .store import small_batches
 
 #: Fixed value: the pattern that the vocabulary was made with, \\s written as the Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -200,7 +199,6 @@ def _add(batch: pa.RecordBatch, drop: str, columns: list[tuple[str, pa.Array]])
 def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (binary: little-endian unsigned 32-bit integers), ``n_tokens`` and ``ids_sha256``
     (of the decimal ids joined by commas) to the rows of df; the text column stays."""
-    small_batches(df.sparkSession)
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())]
     kept, schema = _replaced(df, fields)
 
@@ -222,7 +220,6 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded`` (string) to rows with a binary ids column; bytes that are no UTF-8 become U+FFFD."""
-    small_batches(df.sparkSession)
     kept, schema = _replaced(df, [T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

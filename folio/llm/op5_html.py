@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
-from .store import small_batches
 
 DEPTH = 400
 MAX_PAD = 40
@@ -305,7 +304,6 @@ def render(page: str | None) -> str:
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:
     """Add ``text`` and ``n_lines`` to the rows of pages, in place of the page."""
-    small_batches(pages.sparkSession)
     kept = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in (page.lower(), "text", "n_lines")])
     schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType())])
 

@@ -29,7 +29,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import words as W
-from .store import small_batches
 
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
 WINDOW, STEP, GRAM = 10, 5, 6
@@ -199,7 +198,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``score`` and ``predicted`` to the rows of df."""
-    small_batches(df.sparkSession)
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("score", "predicted")])
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
@@ -96,8 +97,24 @@ def kept(name: str, key: str, make: Callable[[], object]) -> object:
     return _KEPT[name][1]
 
 
+def cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``limit`` (one larger row is a range of its own)."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, stop
+        start = stop
+
+
+def byte_sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a string or binary column, 0 for nulls, without making the values."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, keep: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches whose texts hold about ``limit`` bytes (one longer text makes a slice of its own).
+    """Slices of the batches whose texts hold about ``limit`` bytes (one longer text makes a slice of its
+    own); only a slice's texts are made into Python objects at a time.
 
     Workers outlive their tasks, and idle ones stay: at a task's end its tables go, but for those that the
     operator ``keep`` keeps for its next task; those of other operators go at its beginning.
@@ -106,13 +123,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         del _KEPT[name]
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        values = column.to_pylist()
-        start, held = 0, 0
-        for i, value in enumerate(values):
-            held += len(value) if value is not None else 0
-            if held >= limit or i + 1 == len(values):
-                yield batch.slice(start, i + 1 - start), values[start : i + 1]
-                start, held = i + 1, 0
+        for start, stop in cuts(byte_sizes(column), limit):
+            yield batch.slice(start, stop - start), column.slice(start, stop - start).to_pylist()
     if not keep:
         _HASHES.clear()
         pa.default_memory_pool().release_unused()
