@@ -18,6 +18,7 @@ Texts where white space meets white space take the whole-text path.
 from __future__ import annotations
 
 import gc
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ MIN_COUNT = 16
 CACHE_ENTRIES, HEADS = 700_000, 50_000
 MAGIC = b"RPR1"
 _HEAD = struct.Struct("<4sIIII")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)").fullmatch
 SHARD_SCHEMA = "part int, local_start long, n_docs int, n_ids long, shard binary"
 
 
@@ -57,8 +60,6 @@ class ChunkEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks, each after a space, in one call; tokens that start with the space cut them apart."""
-        if len(self.inner) + len(chunks) > CACHE_ENTRIES:
-            self.inner.clear()
         found = np.array(self.library.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
         starts = (np.flatnonzero(self.opens[found]) * 4).tolist()
         ids = found.tobytes()
@@ -67,6 +68,23 @@ class ChunkEncoder:
         else:
             self.inner.update((c, self.whole(f" {c}")) for c in chunks)
 
+    def meet(self, chunks: set[str]) -> None:
+        """Learn new chunks. A word of letters with marks after it is the word and the marks: the vocabulary's pattern
+        always cuts between letters and marks."""
+        if len(self.inner) + len(chunks) > CACHE_ENTRIES:
+            self.inner.clear()
+        new, marked = [], []
+        for c in chunks:
+            if m := _MARKED(c):
+                marked.append((c, *m.groups()))
+            elif _LETTERS(c) or self._alone(c):
+                new.append(c)
+        new += {core for _, core, _ in marked}.difference(self.inner, new)
+        for i in range(0, len(new), 20_000):
+            self.learn(new[i : i + 20_000])
+        for c, core, marks in marked:
+            self.inner[c] = self.inner[core] + (self.heads.get(marks) or self._head(marks))
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -80,9 +98,9 @@ class ChunkEncoder:
         cut = [t.split(" ") if t else [""] for t in texts]
         known = self.inner.get
         found = [list(map(known, parts[1:])) for parts in cut]
-        new = list({c for parts, ids in zip(cut, found, strict=True) if None in ids for c, x in zip(parts[1:], ids, strict=True) if x is None and self._alone(c)})
-        for i in range(0, len(new), 20_000):
-            self.learn(new[i : i + 20_000])
+        new = {c for parts, ids in zip(cut, found, strict=True) if None in ids for c, x in zip(parts[1:], ids, strict=True) if x is None}
+        if new:
+            self.meet(new)
         known, out = self.inner.get, []
         for text, parts, ids in zip(texts, cut, found, strict=True):
             if not text:
