@@ -43,13 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .bits import held, let_through, packed
 from .op3_minhash import Scheme, linked_nodes, nodes_of
 from .store import Scratch
 
 SHINGLE, PARAGRAPH, PERCENT = 5, 28, 80
 LINES = Scheme(24, 8, 3, plain=True)
 SEED, REACH, GAP, RESUME = 12, 96, 4, 4
-MAP_BITS, HOT_SHARE = 25, 1000
+HOT_SHARE = 1000
 DOC = ["doc_id", "text_hash"]
 SPANS = "array<struct<start:int,n_words:int,kept_in:long>>"
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -199,18 +200,8 @@ def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """asked, one row per (doc_id, text_hash), with the document's text. Only documents that a bit map of fixed
     size lets through are shuffled."""
-    size = MAP_BITS - 3
-    place = f"shiftrightunsigned(xxhash64(doc_id, text_hash), {64 - size})"
-    bits = _bit_table(asked.select(F.xxhash64(*DOC).alias("group")), size)
-    texts = _keyed(docs).where("text is not null").withColumn("word", F.expr(f"shiftrightunsigned({place}, 6)"))
-    texts = texts.join(F.broadcast(bits), "word").where(f"shiftright(bits, cast({place} & 63 as int)) & 1 = 1")
-    return asked.join(texts.select(*DOC, "text").dropDuplicates(DOC), DOC)
-
-
-def _bit_table(groups: DataFrame, size: int = MAP_BITS) -> DataFrame:
-    """A bit map of 2 ** size places of the groups' high bits, as rows (word, bits): at most 2 ** (size - 6)."""
-    place = F.shiftrightunsigned("group", 64 - size)
-    return groups.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(group, {64 - size}) & 63 as int)))").alias("bits"))
+    texts = let_through(_keyed(docs).where("text is not null"), "xxhash64(doc_id, text_hash)", asked.select(F.xxhash64(*DOC).alias("key")))
+    return asked.join(texts.dropDuplicates(DOC), DOC)
 
 
 def seed_spans(docs: DataFrame, table: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -266,20 +257,16 @@ def _lists(flat: list[pa.Array], names: list[str], keep: np.ndarray, owner: np.n
 
 def _possible(table: DataFrame, rest: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
     """Per document its seeds that may be in rest (by a bit map of fixed size, 4 MB) and those that are hot."""
-    packed = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
-    rows = _bit_table(rest).toArrow()  # at most 2 ** (MAP_BITS - 6) rows of 16 bytes
-    packed[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    shared = table.sparkSession.sparkContext.broadcast((packed, np.array([g for g, _ in hot], dtype=np.int64), np.array([k for _, k in hot], dtype=np.int64)))
+    shared = table.sparkSession.sparkContext.broadcast((packed(rest.select(F.col("group").alias("key"))), np.array([g for g, _ in hot], dtype=np.int64), np.array([k for _, k in hot], dtype=np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, groups, kept = shared.value
+        bits, groups, kept = shared.value
         for batch in batches:
             starts, seeds = batch.column(2).flatten(), batch.column(3).flatten()
             values = seeds.to_numpy()
             sizes = np.diff(batch.column(3).offsets.to_numpy())
             owner = np.repeat(np.arange(batch.num_rows), sizes)
-            place = values.view(np.uint64) >> np.uint64(64 - MAP_BITS)
-            is_rest = (packed[(place >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) == 1
+            is_rest = held(bits, values.view(np.uint64))
             at = np.minimum(np.searchsorted(groups, values), max(0, len(groups) - 1))
             is_hot = groups[at] == values if len(groups) else np.zeros(len(values), dtype=bool)
             keeper = pa.array(kept[at] if len(groups) else np.zeros(len(values), dtype=np.int64))
