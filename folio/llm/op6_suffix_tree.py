@@ -1,317 +1,394 @@
-"""Language-model scores by a probabilistic suffix tree over words and word classes.
-
-A text is its lower-cased words and one end. Symbols are the WORDS commonest words and the end, each for
-itself, and CLASSES classes of all other words by their last letters, so that every word, known or not,
-is a symbol and a context. A word's probability is its symbol's, given the longest retained suffix of the
-symbols before it, times the word's share of its class (one for a word that is its own symbol; counts plus
-one, with one more for words never seen).
-
-Growing the tree. Level by level, the symbols that follow each candidate context are counted over all
-training documents. Contexts that hold at least a STATES-th of all tokens, so at most STATES of them,
-are extended by one more symbol (at the first level every symbol is a candidate). A context is retained,
-with its suffixes, if its next-symbol distribution diverges from its suffix's by more than it costs:
-count * KL divergence over half a log of the count for each distinct symbol. Distributions are discounted
-and smoothed towards the suffix's. So a level is a table of at most STATES by STATES, whatever the corpus.
-
-Scoring. Documents are cut into blocks of bounded token counts; the distinct words of a block are joined
-with the counts of all words, by shuffling, and come back to their block as one bounded list.
-
-Null, empty and word-less texts are the end alone. Rows that repeat are each scored and each learnt from;
-null doc_ids are training rows. Only doc_id and text are read.
+"""Language-model scores by a probabilistic suffix tree over words, grown from the whole corpus.
+
+A text is its lower-cased words and one end, after a start. A context is the one, two ... DEPTH words before
+a word (the start may be the first). All runs of words that stand in MIN_COUNT places of the training
+documents are nodes, an absolute count, so the tree grows with the corpus: nothing is kept or left out by rank.
+
+Growing the tree. Level by level, a run of d words can be that frequent only if the d - 1 words it begins and
+ends with are; such runs are counted. A context's distribution holds the frequent words after it, each by its
+count less DISCOUNT, and gives what is left over to the next shorter context's distribution, down to single
+words by their counts plus one. A context is retained, with its suffixes, if its distribution diverges from
+the shorter one's by more than it costs: the sum of count * log ratio, over half a log of its count for each
+word it holds. A word's probability is that of the longest retained context.
+
+Tables. Documents are cut into blocks of bounded token counts. A block sends its distinct runs, not its tokens,
+as sorted arrays dealt out by the high bits of their hashes, to be counted; at the end it asks for the values
+of its own runs in the same way. Levels, tests and probabilities are tables of frequent runs, joined by
+shuffling. Which runs may be frequent is told to blocks by bit maps of fixed size, which let none be missed.
+Nothing that grows with the corpus reaches the driver or is broadcast. Words and runs go by 64-bit hashes.
+
+Null, empty and word-less texts are the end alone; one very long text is a block of its own. Rows that repeat
+are each scored and each learnt from; null doc_ids are training rows. Without training documents every word
+is unknown. An empty table gives an empty one. Ties don't arise. Only doc_id and text are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .bits import held as in_map, packed
 from .store import Scratch
 
-STATES = 1024
-CLASSES, WORDS = 512, 510
-START, END_SYMBOL = 511, 510
-DEPTH, DISCOUNT, MIN_COUNT = 3, 0.75, 8
-BLOCK_TOKENS = 1_200_000
-END = "\n"  # no word holds it
-_MARKS = ".,;:!?)]}\"'"
+MIN_COUNT, DEPTH, DISCOUNT = 64, 3, 0.75
+BLOCK_TOKENS, PART_TOKENS = 4_000_000, 1 << 22
+PARTS = 512
+END, START = b"\n", b"\n\n"  # no word holds them
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+BLOCKS = "block long, doc_ids array<long>, held binary, sizes binary, places binary, words binary, counts binary"
 
 
-class _Index(dict):
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        return place
+def planes(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers with equal bytes side by side: small ones compress."""
+    found = np.ascontiguousarray(numbers.astype(kind))
+    return found.view("u1").reshape(-1, found.itemsize).T.tobytes()
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers with equal bytes side by side: small numbers compress."""
-    return numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
-
-
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype="u1").reshape(4, -1).T).view("<u4").reshape(-1)
+def from_planes(data: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype="u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def block_table(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
-    """One row per block: its documents, their sizes and tokens as places in the block's distinct words, and
-    how often each of those occurs in the block's training documents."""
-    schema = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, places binary, words array<string>, counts array<int>"
-    types = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+    """One row per block: its documents, their sizes, their tokens (each document's after its start) as places
+    in the block's ascending distinct words, and how often each of those occurs in its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        ids, held, places, index, total = [], [], [], _Index(), 0
-        end = END.encode()
+        ids, marks, tokens, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(p) for p in places]
-            flat = np.concatenate(places)
-            train = flat[np.repeat(~np.array(held), sizes)]
-            counts = np.bincount(train, minlength=len(index)).astype(np.int32)
-            row = {"block": [part << 32 | number], "doc_ids": [ids], "held": [held], "sizes": [sizes], "places": [planes(flat)], "words": [[w.decode("utf-8", "replace") for w in index]], "counts": [counts]}
-            return pa.RecordBatch.from_pydict(row, schema=types)
+            sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+            words, places = np.unique(np.concatenate(tokens), return_inverse=True)
+            counts = np.bincount(places[np.repeat(~np.array(marks), sizes)], minlength=len(words))
+            row = [[part << 32 | number], [ids], [np.array(marks, dtype="u1").tobytes()], [planes(sizes)], [planes(places)], [words.tobytes()], [planes(counts)]]
+            types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch, texts in W.chunks(batches, "text"):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                words = text.lower().split() if text else []
-                words.append(end)
                 ids.append(doc_id)
-                held.append(zlib.crc32(str(doc_id).encode()) % modulus == rest if doc_id is not None else False)
-                places.append(np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)))
-                total += len(words)
+                marks.append(doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == rest)
+                tokens.append(W.hash_words([START, *(text.lower().split() if text else ()), END]))
+                total += len(tokens[-1])
                 if total >= BLOCK_TOKENS:
                     yield flush()
                     number += 1
-                    ids, held, places, index, total = [], [], [], _Index(), 0
+                    ids, marks, tokens, total = [], [], [], 0
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
-
-
-def word_class(word: str) -> int:
-    """The symbol of a word that is none itself: by its last three characters before closing marks."""
-    bare = word.rstrip(_MARKS) or word
-    return STATES - CLASSES + zlib.crc32(bare[-3:].encode("utf-8", "replace")) % CLASSES
-
-
-def symbols_of(words: list[str], own: dict[str, int]) -> np.ndarray:
-    get = own.get
-    return np.fromiter((x if (x := get(w)) is not None else word_class(w) for w in words), dtype=np.int64, count=len(words))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, BLOCKS)
+
+
+class Block:
+    """A block's tokens and the runs that end at each of them."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, maps: list[np.ndarray]):
+        get = lambda name: batch.column(batch.schema.get_field_index(name))[i]
+        self.id, self.doc_ids = get("block").as_py(), get("doc_ids").as_py()
+        self.marks = np.frombuffer(get("held").as_py(), dtype="u1").astype(bool)
+        self.sizes = from_planes(get("sizes").as_py()).astype(np.int64)
+        self.words = np.frombuffer(get("words").as_py(), dtype=np.uint64)
+        self.counts = from_planes(get("counts").as_py()).astype(np.int64)
+        self.places = from_planes(get("places").as_py())
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.maps = maps
+
+    def levels(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each length from one word on: hashes of the runs of that length that end at each token, and
+        marks of those that may be frequent and of those all of whose shorter runs may be."""
+        run = self.words[self.places]
+        ok = np.ones(len(run), dtype=bool)
+        for depth in range(len(self.maps) + 1):
+            if depth:
+                longer = np.zeros_like(run)
+                longer[1:] = W.mix(run[:-1] * GOLD + self.words[self.places[1:]])
+                whole = np.ones(len(run), dtype=bool)
+                for j in range(depth):
+                    whole[np.minimum(self.starts + j, len(run) - 1)] = False
+                both = np.zeros_like(ok)
+                both[1:] = ok[:-1] & ok[1:]
+                run, ok = longer, both & whole
+            possible = ok.copy()
+            if depth < len(self.maps):
+                at = np.flatnonzero(ok)
+                ok[at] = in_map(self.maps[depth], run[at])
+            yield run, ok, possible
+
+
+def by_part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the ascending keys of each part begin, with the end."""
+    first = (np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - (parts.bit_length() - 1))) if parts > 1 else np.empty(0, dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]])
+
+
+def _grouped(rows: DataFrame, fold: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, order: list[str] | None = None) -> DataFrame:
+    """fold over all rows of each part."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if held and held[-1].column(0)[0].as_py() != int(part[a]):
+                    yield from fold(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from fold(held)
 
-@dataclass
-class Level:
-    """Contexts of one length: which state a longer suffix leads to, and log probabilities after each."""
-
-    step: np.ndarray  # [state of the shorter suffix, symbol before it] -> state or -1
-    log_p: np.ndarray  # [state, symbol]
+    return rows.repartition("part").sortWithinPartitions("part", *(order or [])).mapInArrow(run, schema)
 
 
-@dataclass
-class Tree:
-    own: dict[str, int]
-    log_root: np.ndarray
-    levels: list[Level]
+def _binaries(batches: list[pa.RecordBatch], column: int) -> list[bytes]:
+    return [x for b in batches for x in b.column(column).to_pylist() if x is not None]
 
-    def log_probabilities(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural logs for the symbols of texts in a row; first marks each text's first symbol."""
-        out = self.log_root[symbols].astype(np.float64)
-        state, alive = np.zeros(len(symbols), dtype=np.int64), np.arange(len(symbols))
-        for level, before in zip(self.levels, history(symbols, first, len(self.levels)), strict=True):
-            state_here = level.step[state[alive], before[alive]]
-            alive, state_here = alive[state_here >= 0], state_here[state_here >= 0]
-            state[alive] = state_here
-            out[alive] = level.log_p[state_here, symbols[alive]]
-        return out
 
+def word_table(blocks: DataFrame, parts: int) -> DataFrame:
+    """Rows (part, words, counts): all training words with their counts, by part."""
 
-def history(symbols: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarray]:
-    """The symbols one, two ... depth places before each, START before a text's first."""
-    out = []
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(symbols)), 0))
-    for d in range(1, depth + 1):
-        before = np.full(len(symbols), START, dtype=np.int64)
-        ok = np.arange(len(symbols)) - d >= begin
-        before[ok] = symbols[np.flatnonzero(ok) - d]
-        out.append(before)
-    return out
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, counts = np.frombuffer(batch.column(0)[i].as_py(), dtype=np.uint64), from_planes(batch.column(1)[i].as_py())
+                words, counts = words[counts > 0], counts[counts > 0]
+                cuts = by_part(words, parts).tolist()
+                rows = [(p, words[a:b].tobytes(), planes(counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["part", "words", "counts"])
 
+    def fold(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in _binaries(rows, 1)])
+        counts = np.concatenate([from_planes(x) for x in _binaries(rows, 2)])
+        words, place = np.unique(words, return_inverse=True)
+        counts = np.bincount(place, weights=counts, minlength=len(words)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([rows[0].column(0).slice(0, 1), pa.array([words.tobytes()], pa.binary()), pa.array([planes(counts, "<i8")], pa.binary())], names=["part", "words", "counts"])
 
-def _block_symbols(batch: pa.RecordBatch, i: int, own: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's row: symbols of all tokens, marks of first tokens, held marks by token, documents' sizes."""
-    col = lambda name: batch.column(batch.schema.get_field_index(name))[i]
-    sizes = np.asarray(col("sizes").values, dtype=np.int64)
-    symbols = symbols_of(col("words").as_py(), own)[from_planes(col("places").as_py())]
-    first = np.zeros(len(symbols), dtype=bool)
-    first[np.cumsum(sizes) - sizes] = True
-    return symbols, first, np.repeat(np.array(col("held").as_py(), dtype=bool), sizes), sizes
+    return _grouped(blocks.select("words", "counts").mapInArrow(send, "part int, words binary, counts binary"), fold, "part int, words binary, counts binary")
 
 
-def symbol_table(blocks: DataFrame, own: dict[str, int]) -> DataFrame:
-    """Per block its documents' sizes and held marks, and the symbols of all its tokens in 16 bits."""
+def frequent_words(words: DataFrame, least: int) -> DataFrame:
+    """Rows (run, n) of the words (and the start) in at least so many places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                symbols = _block_symbols(batch, i, own)[0].astype("<u2").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([symbols], pa.binary())], names=["held", "sizes", "symbols"])
+            for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n = from_planes(counts, "<i8")
+                often = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, dtype=np.int64)[often]), pa.array(n[often])], names=["run", "n"])
 
-    return blocks.select("held", "sizes", "places", "words").mapInArrow(run, "held array<boolean>, sizes array<int>, symbols binary")
+    return words.mapInArrow(run, "run long, n long")
 
 
-def _cells(tokens: DataFrame, steps: list[np.ndarray], before: bool) -> DataFrame:
-    """Rows (cell, n): how often each symbol follows (or, before: stands before) the contexts that the steps
-    lead to, in training documents; cell is state * STATES + symbol."""
-    states = int(steps[-1].max()) + 1 if steps else 1
-    shared = tokens.sparkSession.sparkContext.broadcast(steps)
+def longer_runs(blocks: DataFrame, maps: list[np.ndarray], parts: int, least: int) -> DataFrame:
+    """Rows (run, context, shorter, suffix, n) of the runs one word longer than the maps go that stand in
+    at least so many training places: the words before the last, the run and its context without their first words."""
+    shared = blocks.sparkSession.sparkContext.broadcast(maps)
+    names = ["part", "contexts", "suffixes", "sizes", "words", "counts"]
+    schema = "part int, " + ", ".join(f"{n} binary" for n in names[1:])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(states * STATES, dtype=np.int64)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes = np.asarray(batch.column(1)[i].values, dtype=np.int64)
-                symbols = np.frombuffer(batch.column(2)[i].as_py(), dtype="<u2").astype(np.int64)
-                first = np.zeros(len(symbols), dtype=bool)
-                first[np.cumsum(sizes) - sizes] = True
-                held = np.repeat(np.array(batch.column(0)[i].as_py(), dtype=bool), sizes)
-                past = history(symbols, first, len(shared.value) + before)
-                state = np.zeros(len(symbols), dtype=np.int64)
-                for step, symbol in zip(shared.value, past, strict=False):
-                    state = np.where(state >= 0, step[np.maximum(state, 0), symbol], -1)
-                use = (state >= 0) & ~held
-                if before:
-                    use &= past[-2] != START
-                total += np.bincount(state[use] * STATES + (past[-1] if before else symbols)[use], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
-
-    return tokens.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def _counts(tokens: DataFrame, steps: list[np.ndarray]) -> np.ndarray:
-    """Table [state, symbol] of the symbols that follow: at most STATES by STATES."""
-    rows = _cells(tokens, steps, False).toPandas()
-    states = int(steps[-1].max()) + 1 if steps else 1
-    table = np.zeros(states * STATES, dtype=np.float32)
-    table[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float32)
-    return table.reshape(states, STATES)
-
-
-def _preceding(tokens: DataFrame, steps: list[np.ndarray], least: float) -> np.ndarray:
-    """Marks [state, symbol] where the symbol stands before the context at least so often: as least is no less
-    than a STATES-th of all tokens, at most STATES cells."""
-    states = int(steps[-1].max()) + 1
-    table = np.zeros(states * STATES, dtype=bool)
-    for r in _cells(tokens, steps, True).where(F.col("n") >= least).collect():
-        table[r["cell"]] = True
-    return table.reshape(states, STATES)
-
-
-def grow(blocks: DataFrame, words: DataFrame, scratch: Scratch) -> Tree:
-    """The tree of the training documents of the blocks; words: (word, c)."""
-    common = words.where((F.col("c") > 0) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(WORDS).collect()
-    tree = Tree({r["word"]: i for i, r in enumerate(common)} | {END: END_SYMBOL}, np.zeros(STATES), [])
-    tokens = scratch.save(symbol_table(blocks, tree.own), "tokens")
-    root = _counts(tokens, [])[0].astype(np.float64)
-    total = root.sum()
-    below = ((root + 0.5) / (total + 0.5 * STATES))[None]
-    tree.log_root = np.log(below[0]).astype(np.float32)
-    steps: list[np.ndarray] = []
-    candidates = np.ones((1, STATES), dtype=bool)
-    suffix_tables, gains = [below.astype(np.float32)], []
-    for depth in range(DEPTH):
-        step = np.full(candidates.shape, -1, dtype=np.int32)
-        parent, _ = np.nonzero(candidates)
-        step[candidates] = np.arange(len(parent))
-        counts = _counts(tokens, [*steps, step])
-        n = counts.sum(axis=1, dtype=np.float64)
-        if not len(n) or n.max() < MIN_COUNT:
-            break
-        steps.append(step)
-        distinct = (counts > 0).sum(axis=1)
-        smooth, gain = np.empty_like(counts), np.zeros(len(n))
-        for i, p in enumerate(parent):
-            shorter = suffix_tables[-1][p]
-            smooth[i] = (np.maximum(counts[i] - DISCOUNT, 0) + DISCOUNT * distinct[i] * shorter) / n[i] if n[i] else shorter
-            seen = counts[i] > 0
-            gain[i] = float((counts[i][seen] * np.log(smooth[i][seen] / shorter[seen])).sum())
-        gains.append((n >= MIN_COUNT) & (gain > 0.5 * distinct * np.log(n + 1)))
-        suffix_tables.append(smooth)
-        if depth + 1 < DEPTH:  # longer contexts: one more symbol before these
-            candidates = _preceding(tokens, steps, max(MIN_COUNT, total / STATES))
-            if not candidates.any():
-                break
-    keep = [g.copy() for g in gains]
-    for depth in range(len(keep) - 1, 0, -1):
-        parent, _ = np.nonzero(steps[depth] >= 0)
-        keep[depth - 1][np.unique(parent[keep[depth]])] = True
-    place = np.array([0])
-    for depth, step in enumerate(steps):
-        number = np.full(len(keep[depth]) + 1, -1, dtype=np.int32)
-        number[:-1][keep[depth]] = np.arange(keep[depth].sum())
-        rows = step[place]
-        tree.levels.append(Level(np.where(rows >= 0, number[rows], -1).astype(np.int32), np.log(np.maximum(suffix_tables[depth + 1][keep[depth]], 1e-30)).astype(np.float32)))
-        place = np.flatnonzero(keep[depth])
-        if not len(place):
+                block = Block(batch, i, shared.value)
+                before = [x[0] for x in block.levels()]
+                *_, (run, _, possible) = block.levels()
+                at = np.flatnonzero(possible & ~np.repeat(block.marks, block.sizes))
+                _, first, counts = np.unique(run[at], return_index=True, return_counts=True)
+                at = at[first]
+                contexts = before[-2][at - 1]
+                order = np.argsort(contexts, kind="stable")
+                at, contexts, counts = at[order], contexts[order], counts[order]
+                head = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(at) else np.empty(0, dtype=np.int64)
+                sizes, heads = np.diff(head, append=len(at)), contexts[head]
+                suffixes = before[-3][at[head] - 1] if len(before) > 2 else np.zeros(len(head), dtype=np.uint64)
+                last = block.words[block.places[at]]
+                cuts = by_part(heads, parts)
+                inner = np.concatenate([head, [len(at)]])
+                rows = [(p, heads[a:b].tobytes(), suffixes[a:b].tobytes(), planes(sizes[a:b]), last[inner[a] : inner[b]].tobytes(), planes(counts[inner[a] : inner[b]])) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=names)
+
+    def fold(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.concatenate([from_planes(x) for x in _binaries(rows, 3)])
+        context, suffix = (np.repeat(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in _binaries(rows, k)]), sizes) for k in (1, 2))
+        word = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in _binaries(rows, 4)])
+        run, first, place = np.unique(W.mix(context * GOLD + word), return_index=True, return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([from_planes(x) for x in _binaries(rows, 5)]), minlength=len(run)).astype(np.int64)
+        often = n >= least
+        context, suffix, word = (x[first][often] for x in (context, suffix, word))
+        shorter = W.mix(suffix * GOLD + word) if len(maps) > 1 else word
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (run[often], context, shorter, suffix)] + [pa.array(n[often])], names=["run", "context", "shorter", "suffix", "n"])
+
+    return _grouped(blocks.select("block", "doc_ids", "held", "sizes", "places", "words", "counts").mapInArrow(send, schema), fold, "run long, context long, shorter long, suffix long, n long")
+
+
+def level_table(runs: DataFrame, shorter: DataFrame) -> DataFrame:
+    """runs with p, the probability of their last word after their context, and the context's rest (what it leaves to
+    the shorter one) and worth (by how much its distribution's divergence exceeds its cost).
+
+    shorter: (run, n, p) of the level before."""
+    of = runs.join(shorter.select(F.col("run").alias("context"), F.col("n").alias("total")), "context")
+    of = of.join(shorter.select(F.col("run").alias("shorter"), F.col("p").alias("p_shorter")), "shorter")
+    rest = of.groupBy("context").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.max("total")).alias("rest"))
+    of = of.join(rest, "context").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.col("p_shorter"))
+    told = F.sum(F.col("n") * F.log(F.col("p") / F.col("p_shorter"))) + (F.max("total") - F.sum("n")) * F.log(F.max("rest"))
+    worth = of.groupBy("context").agg((told - 0.5 * F.count("*") * F.log(F.max("total") + 1.0)).alias("worth"))
+    return of.join(worth, "context").select("run", "context", "suffix", "n", "p", "rest", "worth")
+
+
+def tree_table(blocks: DataFrame, words: DataFrame, total: int, distinct: int, parts: int, scratch: Scratch, min_count: int = MIN_COUNT, depth: int = DEPTH) -> tuple[DataFrame, list[np.ndarray]]:
+    """Rows (run, event, rest): the log10 probability of a run's last word after a retained context, and what a
+    retained context leaves to its suffix; and the maps of the frequent runs of each length."""
+    first = scratch.save(frequent_words(words, min_count).withColumn("p", (F.col("n") + 1) / F.lit(float(total + distinct + 1))), "level-1")
+    maps, levels = [packed(first.select(F.col("run").alias("key")))], []
+    before = first
+    for k in range(2, depth + 2):
+        runs = scratch.save(longer_runs(blocks, maps, parts, min_count), f"runs-{k}")
+        level = scratch.save(level_table(runs, before.select("run", "n", "p")), f"level-{k}")
+        if not level.head(1):
             break
-    scratch.drop("tokens")
-    return tree
+        levels.append(level)
+        maps.append(packed(level.select(F.col("run").alias("key"))))
+        before = level
+    values, kept = [], None
+    for level in reversed(levels):
+        contexts = level.where("worth > 0").select("context").distinct()
+        if kept is not None:
+            contexts = contexts.unionByName(kept).distinct()
+        own = level.join(contexts, "context")
+        values.append(own.select("run", F.log10("p").alias("event"), F.lit(None).cast("double").alias("rest")))
+        values.append(own.groupBy("context").agg(F.log10(F.max("rest")).alias("rest")).select(F.col("context").alias("run"), F.lit(None).cast("double").alias("event"), "rest"))
+        kept = own.select(F.col("suffix").alias("context")).distinct()
+    found = values[0] if values else first.select("run", F.lit(None).cast("double").alias("event"), F.lit(None).cast("double").alias("rest")).where("false")
+    for more in values[1:]:
+        found = found.unionByName(more)
+    tree = scratch.save(found.groupBy("run").agg(F.max("event").alias("event"), F.max("rest").alias("rest")), "tree")
+    return tree, maps
+
+
+def _asked(block: Block) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct hashes a block asks about (all words, longer runs that may be frequent), ascending; and the
+    longer runs' hashes at each token, 0 where none may be frequent."""
+    runs = [np.where(ok, run, np.uint64(0)) for run, ok, _ in list(block.levels())[1:-1]]
+    return np.unique(np.concatenate([block.words, *(np.unique(r) for r in runs)])), runs
+
+
+def answers(blocks: DataFrame, words: DataFrame, tree: DataFrame, maps: list[np.ndarray], parts: int) -> DataFrame:
+    """Rows (block, part, counts, events, rests): the values of what a block asks about, in ascending order."""
+    shared = blocks.sparkSession.sparkContext.broadcast(maps)
+    schema = "part int, block long, words binary, counts binary, run long, event double, rest double"
+    names = [x.split()[0] for x in schema.split(", ")]
+    high = 64 - (parts.bit_length() - 1)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block(batch, i, shared.value)
+                keys, _ = _asked(block)
+                cuts = by_part(keys, parts).tolist()
+                rows = [(p, keys[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r[0] for r in rows], pa.int32()), pa.array([block.id] * n, pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
+                    pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()),
+                ], names=names)
+
+    def fold(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        known = table.filter(pc.is_valid(table.column("run")))
+        runs = known.column("run").to_numpy().view(np.uint64)
+        order = np.argsort(runs)
+        runs, event, rest = runs[order], known.column("event").to_numpy()[order], known.column("rest").to_numpy()[order]
+        all_words, all_counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        for keys, counts in zip(_binaries(rows, 2), [x for b in rows for x, k in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True) if k is not None], strict=True):
+            if counts is not None:
+                all_words, all_counts = np.frombuffer(keys, dtype=np.uint64), from_planes(counts, "<i8")
+        for b in rows:
+            for block, keys in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if block is None:
+                    continue
+                keys = np.frombuffer(keys, dtype=np.uint64)
+                found = [_look_up(keys, all_words, all_counts, 0), _look_up(keys, runs, event, np.nan), _look_up(keys, runs, rest, np.nan)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), b.column(0).slice(0, 1), *(pa.array([planes(x, k)], pa.binary()) for x, k in zip(found, ("<i8", "<f4", "<f4"), strict=True))], names=["block", "part", "counts", "events", "rests"])
+
+    asked = blocks.mapInArrow(ask, schema)
+    null = lambda kind: F.lit(None).cast(kind)
+    given = words.select("part", null("long").alias("block"), "words", "counts", null("long").alias("run"), null("double").alias("event"), null("double").alias("rest"))
+    values = tree.select(F.expr(f"cast(shiftrightunsigned(run, {high}) as int)" if parts > 1 else "0").alias("part"), null("long").alias("block"), null("binary").alias("words"), null("binary").alias("counts"), "run", "event", "rest")
+    return _grouped(asked.unionByName(given).unionByName(values), fold, "block long, part int, counts binary, events binary, rests binary")
+
+
+def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
+    out = np.full(len(keys), default, dtype=values.dtype)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        out[hit] = values[at[hit]]
+    return out
 
 
-def score_documents(docs: DataFrame, scratch: Scratch | None = None, modulus: int = 7, rest: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, scratch: Scratch | None = None, modulus: int = 7, rest: int = 2, min_count: int = MIN_COUNT, depth: int = DEPTH) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix-tree")
     blocks = scratch.save(block_table(docs, modulus, rest), "blocks")
-    pairs = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = scratch.save(pairs.groupBy("word").agg(F.sum("n").cast("long").alias("c")), "words")
-    total, distinct = words.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
-    total, distinct = total or 0, distinct or 0
-    tree = grow(blocks, words, scratch)
-    own = tree.own
-
-    def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(STATES)
+    tokens = blocks.agg(F.sum(F.length("places") / 4)).first()[0] or 0
+    parts = PARTS
+    while parts * PART_TOKENS < tokens:  # as many more as there are tokens, so that a part's tables stay as large
+        parts *= 2
+    words = scratch.save(word_table(blocks, parts), "words")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = W.hash_words([START])
         for batch in batches:
-            if batch.num_rows:
-                sums += np.bincount(symbols_of(batch.column(0).to_pylist(), own), weights=np.asarray(batch.column(1)) + 1.0, minlength=STATES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STATES)), pa.array(sums)], names=["symbol", "s"])
+            for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                real = np.frombuffer(keys, dtype=np.uint64) != start
+                n = from_planes(counts, "<i8")[real]
+                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())], pa.int64()), pa.array([len(n)], pa.int64())], names=["c", "v"])
 
-    sums = np.ones(STATES)
-    for r in words.where("c > 0").mapInArrow(class_sums, "symbol long, s double").groupBy("symbol").agg(F.sum("s").alias("s")).collect():
-        sums[r["symbol"]] += r["s"]
-    shared = docs.sparkSession.sparkContext.broadcast((tree, sums))
-
-    back = pairs.select("block", "place", "word").join(words, "word").groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("found"))
-    joined = blocks.select("block", "doc_ids", "held", "sizes", "places", "words").join(back, "block")
+    total, distinct = words.mapInArrow(totals, "c long, v long").agg(F.sum("c"), F.sum("v")).first()
+    total, distinct = total or 0, distinct or 0
+    tree, maps = tree_table(blocks, words, total, distinct, parts, scratch, min_count, depth)
+    replies = answers(blocks, words, tree, maps, parts)
+    replies = replies.groupBy("block").agg(F.collect_list(F.struct("part", "counts", "events", "rests")).alias("replies"))  # as much as the block's distinct runs
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
     floor = np.log10(float(total + distinct + 1))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, sums = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                symbols, first, _, n = _block_symbols(batch, i, tree.own)
-                rows = batch.column(6)[i].values
-                order = np.asarray(rows.field("place"))
-                c = np.empty(len(order))
-                c[order] = np.asarray(rows.field("c"))
-                at, starts = from_planes(batch.column(4)[i].as_py()), np.cumsum(n) - n
-                c = c[at]
-                share = np.where(symbols >= STATES - CLASSES, np.log10((c + 1) / sums[symbols]), 0.0)
-                log_p = tree.log_probabilities(symbols, first) / np.log(10) + share
+                block = Block(batch, i, shared.value)
+                keys, runs = _asked(block)
+                found = sorted(batch.column(7)[i].as_py(), key=lambda r: r["part"])
+                counts, events, rests = (np.concatenate([from_planes(r[k], t) for r in found]) for k, t in (("counts", "<i8"), ("events", "<f4"), ("rests", "<f4")))
+                place = np.searchsorted(keys, block.words)
+                c = counts[place][block.places]
+                base = np.log10(c + 1.0) - floor
+                log_p, context = base.copy(), rests[place][block.places]
+                for run in runs:  # from the shortest context to the longest
+                    at = np.searchsorted(keys, run)
+                    event, left = np.where(run > 0, events[at], np.nan), np.concatenate([[np.nan], context[:-1]])
+                    log_p = np.where(np.isnan(event), np.where(np.isnan(left), log_p, left + log_p), event)
+                    context = np.where(run > 0, rests[at], np.nan)
+                real = np.ones(len(c), dtype=bool)
+                real[block.starts] = False
+                sums = lambda x: np.add.reduceat(np.where(real, x, 0), block.starts)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(batch.column(1)[i].as_py(), pa.int64()), pa.array(batch.column(2)[i].as_py(), pa.bool_()), pa.array(n),
-                    pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(len(n), total, dtype=np.int64)),
-                    pa.array(np.add.reduceat(np.log10(c + 1), starts) - n * floor), pa.array(np.add.reduceat(log_p, starts)),
+                    pa.array(block.doc_ids, pa.int64()), pa.array(block.marks), pa.array(block.sizes - 1), pa.array(sums((c > 0).astype(np.int64))),
+                    pa.array(np.full(len(block.sizes), total, dtype=np.int64)), pa.array(sums(base)), pa.array(sums(log_p)),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return joined.select("block", "doc_ids", "held", "sizes", "places", "words", "found").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    joined = blocks.join(replies, "block").select("block", "doc_ids", "held", "sizes", "places", "words", "counts", "replies")
+    return joined.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

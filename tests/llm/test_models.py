@@ -54,17 +54,60 @@ def test_language_model_of_nothing(spark):
     assert r["n_tokens"] == 1 and math.isfinite(r["score"])
 
 
-def test_probabilities_sum_to_one(spark):
-    rows, *_ = corpus(2, 20)
-    s = Scratch(spark, "t6e")
-    blocks = s.save(L.block_table(frame(spark, rows, False)), "b")
-    pairs = blocks.selectExpr("explode(arrays_zip(words, counts)) as w").selectExpr("w.words as word", "w.counts as n").groupBy("word").agg({"n": "sum"}).withColumnRenamed("sum(n)", "c")
-    tree = L.grow(blocks, pairs, s)
-    import numpy as np
-
-    assert math.isclose(np.exp(tree.log_root.astype(float)).sum(), 1, abs_tol=1e-4)
-    for level in tree.levels:
-        assert np.allclose(np.exp(level.log_p.astype(float)).sum(axis=1), 1, atol=1e-3)
+def suffix_tree(texts, least, depth):
+    """A brute-force version: the probability of a word after the words before it."""
+    runs = Counter()
+    for t in texts:
+        w = ["<start>", *words(lowered(t)), "<end>"]
+        runs.update(tuple(w[i : i + k]) for k in range(1, depth + 2) for i in range(len(w) - k + 1))
+    single = {r[0]: n for r, n in runs.items() if len(r) == 1 and r != ("<start>",)}
+    total, vocabulary = sum(single.values()), len(single)
+    after = {}
+    for r, n in runs.items():
+        if len(r) > 1 and n >= least:
+            after.setdefault(r[:-1], {})[r[-1]] = n
+
+    def p(context, w, ok):
+        if not context:
+            return (single.get(w, 0) + 1) / (total + vocabulary + 1)
+        if not ok(context):
+            return p(context[1:], w, ok)
+        n, held = runs[context], after[context]
+        rest = 1 - sum(x - 0.75 for x in held.values()) / n
+        return max(0, held.get(w, 0) - 0.75) / n + rest * p(context[1:], w, ok)
+
+    kept = set()
+    for context, held in after.items():
+        n, everything = runs[context], lambda c: c in after
+        rest = 1 - sum(x - 0.75 for x in held.values()) / n
+        gain = sum(x * math.log(p(context, w, everything) / p(context[1:], w, everything)) for w, x in held.items()) + (n - sum(held.values())) * math.log(rest)
+        if gain > 0.5 * len(held) * math.log(n + 1):
+            kept |= {context[i:] for i in range(len(context))}
+    return lambda context, w: p(context, w, kept.__contains__), [*single, "<none>"], kept
+
+
+def test_scores_are_those_of_a_brute_force_tree(spark):
+    rng = random.Random(8)
+    links = {w: rng.sample(range(40), 3) for w in range(40)}
+    rows = [(None, "w1 w2"), (900, None), (901, ""), (902, "never seen"), (903, "w1 " * 3000)]
+    for i in range(150):
+        now, t = rng.randrange(40) if rng.random() < 0.1 else 0, []
+        for _ in range(rng.randint(5, 60)):
+            t.append(f"W{now}" if rng.random() < 0.1 else f"w{now}")
+            now = rng.choice(links[now]) if rng.random() < 0.8 else rng.randrange(40)
+        rows.append((i, " ".join(t)))
+    rows += rows[6:9]
+    found = L.score_documents(frame(spark, rows), Scratch(spark, "t6e"), min_count=4, depth=3).collect()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    p, vocabulary, kept = suffix_tree([t for d, t in rows if not held(d)], 4, 3)
+    assert {len(c) for c in kept} == {1, 2, 3} and any(c[0] == "<start>" for c in kept)
+    for context in list(kept)[:60]:
+        assert math.isclose(sum(p(context, w) for w in vocabulary), 1, abs_tol=1e-9)
+    want = Counter()
+    for d, t in rows:
+        w = ["<start>", *words(lowered(t)), "<end>"]
+        want[d, round(sum(math.log10(p(tuple(w[max(0, i - 3) : i]), w[i])) for i in range(1, len(w))), 2)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 2)) for r in found) == want
 
 
 def test_toxic_texts_are_told_on_held_out_rows(spark):
