@@ -244,7 +244,8 @@ def _equal_after(aligned: DataFrame) -> DataFrame:
     after = aligned.select(*DOC, F.explode("after").alias("a")).select(*DOC, "a.*")
     again = after.groupBy("group").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.max(F.col("open").cast("int")).alias("open"), F.count("*").alias("n"))
     again = again.where("kept_in < last and open = 1").select("group", "kept_in", "n")
-    gone = _joined(after.drop("open"), again, 0).where("doc_id <> kept_in")
+    total = aligned.agg(F.sum(F.size("after").cast("long"))).first()[0] or 0
+    gone = _joined(after.drop("open"), again, total).where("doc_id <> kept_in")
     return gone.groupBy(*DOC).agg(F.collect_set(F.struct("start", F.lit(PARAGRAPH).alias("n_words"), "kept_in")).alias("spans"))
 
 
@@ -368,19 +369,30 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, runs, near, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), texts, strict=True):
             hashes = W.hash_words(text.lower().split())
             beside = {x["group"]: np.frombuffer(x["words"], dtype=np.uint64) for x in near}
-            found = set()
-            for r in runs:
+            found: dict[tuple[int, int], int] = {}
+            for r in sorted(runs, key=lambda r: r["start"] - r["stop"]):
+                if any(a <= r["start"] and r["stop"] <= b and kept == r["kept_in"] for (a, b), kept in found.items()):
+                    continue  # the alignment that found the passage has gone through this run
                 span = passage(hashes, r["start"], r["stop"], beside[r["left"]], beside[r["right"]])
                 if span:
-                    found.add((span[0], span[1] - span[0], r["kept_in"]))
-            spans.append([{"start": a, "n_words": n, "kept_in": k} for a, n, k in sorted(found)])
-            cover = merged([(a, n) for a, n, _ in found])
-            begins = [a for a, _ in cover]
-            units = W.windows(hashes, PARAGRAPH).view(np.int64)
-            after.append([{"start": s, "group": int(units[s]), "open": not ((k := bisect_right(begins, s) - 1) >= 0 and s + SEED <= cover[k][1])} for s in starts if s < len(units)])
+                    found[span] = min(r["kept_in"], found.get(span, r["kept_in"]))
+            spans.append([{"start": a, "n_words": b - a, "kept_in": k} for (a, b), k in sorted(found.items())])
+            cover = merged([(a, b - a) for a, b in found])
+            begins, units = [a for a, _ in cover], after_units(hashes, np.array(starts, dtype=np.int64))
+            after.append([{"start": s, "group": u, "open": not ((k := bisect_right(begins, s) - 1) >= 0 and s + SEED <= cover[k][1])} for s, u in zip(starts, units, strict=False)])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(after, after_type)], names=[*DOC, "spans", "after"])
 
 
+def after_units(hashes: np.ndarray, starts: np.ndarray) -> list[int]:
+    """Hashes of the PARAGRAPH words from each of the ascending starts, as far as so many words follow."""
+    grams = W.windows(hashes, SEED)
+    at = starts[starts + PARAGRAPH <= len(hashes)]
+    acc = grams[at]
+    for step in (*range(SEED, PARAGRAPH - SEED, SEED), PARAGRAPH - SEED):
+        acc = W.mix(acc * np.uint64(0x9E3779B97F4A7C15) + grams[at + step])
+    return acc.view(np.int64).tolist()
+
+
 def passage(hashes: np.ndarray, start: int, stop: int, left: np.ndarray, right: np.ndarray) -> tuple[int, int] | None:
     """The longest passage (start, stop) of a text around a run whose words are another text's too; left and right
     are the other text's words before and after the run."""
@@ -389,14 +401,17 @@ def passage(hashes: np.ndarray, start: int, stop: int, left: np.ndarray, right:
     return (low + span[0], low + span[1]) if span else None
 
 
-def _equal_runs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Ends (in a, in b) of the equal runs from the front of both, over gaps of up to GAP words in either."""
-    i = j = 0
+def _equal_runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """Ends (in a, in b) of the equal runs from the front of both, over gaps of up to GAP words in either; and how many
+    shingles the runs up to there hold, but for those across the first one's front."""
+    i = j = held = 0
     out = []
     while True:
+        begin = i
         while i < len(a) and j < len(b) and a[i] == b[j]:
             i, j = i + 1, j + 1
-        out.append((i, j))
+        held += max(0, i - begin - (SHINGLE - 1 if out else 0))
+        out.append((i, j, held))
         gaps = ((x, both - x) for both in range(1, 2 * GAP + 1) for x in range(max(0, both - GAP), min(GAP, both) + 1))
         step = next(((x, y) for x, y in gaps if i + x + RESUME <= len(a) and a[i + x : i + x + RESUME] == b[j + y : j + y + RESUME]), None)
         if step is None:
@@ -406,15 +421,20 @@ def _equal_runs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def near_passage(a: np.ndarray, b: np.ndarray, at: int, at_b: int) -> tuple[int, int] | None:
     """The longest (start, end) in a, around the words that both have in common from at and at_b, that is alike
-    to its aligned passage in b."""
+    to its aligned passage in b. Passages whose equal runs hold too few shingles by a margin aren't compared."""
     x, y = a.tolist(), b.tolist()
-    right = [(at + i, at_b + j) for i, j in _equal_runs(x[at:], y[at_b:])]
-    left = [(at - i, at_b - j) for i, j in _equal_runs(x[:at][::-1], y[:at_b][::-1])]
+    right = [(at + i, at_b + j, n) for i, j, n in _equal_runs(x[at:], y[at_b:])]
+    left = [(at - i, at_b - j, n) for i, j, n in _equal_runs(x[:at][::-1], y[:at_b][::-1])]
     if right[-1][0] - left[-1][0] < PARAGRAPH:
         return None
     grams_a, grams_b = W.windows(a, SHINGLE), W.windows(b, SHINGLE)
     spans = sorted(((s, e) for s in left for e in right if e[0] - s[0] >= PARAGRAPH and e[1] - s[1] >= PARAGRAPH), key=lambda p: p[0][0] - p[1][0])
-    for (start, start_b), (end, end_b) in spans:
+    for (start, start_b, n), (end, end_b, m) in spans:
+        one, other, common = end - start - SHINGLE + 1, end_b - start_b - SHINGLE + 1, n + m - SHINGLE + 1
+        if one == other == common:
+            return start, end
+        if 100 * common < (PERCENT - 10) * (one + other - common):
+            continue
         common, union = W.jaccard_counts(np.unique(grams_a[start : end - SHINGLE + 1]), np.unique(grams_b[start_b : end_b - SHINGLE + 1]))
         if 100 * common >= PERCENT * union:
             return start, end
