@@ -39,7 +39,7 @@ from .bits import held as in_map, packed
 from .store import Scratch
 
 MIN_COUNT, DEPTH, DISCOUNT = 64, 3, 0.75
-BLOCK_TOKENS, PART_TOKENS = 4_000_000, 1 << 22
+BLOCK_TOKENS, PART_TOKENS = 2_000_000, 1 << 22
 PARTS = 512
 END, START = b"\n", b"\n\n"  # no word holds them
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -102,12 +102,12 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.maps = maps
 
-    def levels(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each length from one word on: hashes of the runs of that length that end at each token, and
+    def levels(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each of n lengths from one word on: hashes of the runs of that length that end at each token, and
         marks of those that may be frequent and of those all of whose shorter runs may be."""
         run = self.words[self.places]
         ok = np.ones(len(run), dtype=bool)
-        for depth in range(len(self.maps) + 1):
+        for depth in range(n):
             if depth:
                 longer = np.zeros_like(run)
                 longer[1:] = W.mix(run[:-1] * GOLD + self.words[self.places[1:]])
@@ -201,8 +201,9 @@ def longer_runs(blocks: DataFrame, maps: list[np.ndarray], parts: int, least: in
         for batch in batches:
             for i in range(batch.num_rows):
                 block = Block(batch, i, shared.value)
-                before = [x[0] for x in block.levels()]
-                *_, (run, _, possible) = block.levels()
+                before: list[np.ndarray] = []
+                for run, _, possible in block.levels(len(block.maps) + 1):
+                    before = [*before[-2:], run]
                 at = np.flatnonzero(possible & ~np.repeat(block.marks, block.sizes))
                 _, first, counts = np.unique(run[at], return_index=True, return_counts=True)
                 at = at[first]
@@ -211,7 +212,7 @@ def longer_runs(blocks: DataFrame, maps: list[np.ndarray], parts: int, least: in
                 at, contexts, counts = at[order], contexts[order], counts[order]
                 head = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(at) else np.empty(0, dtype=np.int64)
                 sizes, heads = np.diff(head, append=len(at)), contexts[head]
-                suffixes = before[-3][at[head] - 1] if len(before) > 2 else np.zeros(len(head), dtype=np.uint64)
+                suffixes = before[-3][at[head] - 1] if len(shared.value) > 1 else np.zeros(len(head), dtype=np.uint64)
                 last = block.words[block.places[at]]
                 cuts = by_part(heads, parts)
                 inner = np.concatenate([head, [len(at)]])
@@ -279,7 +280,7 @@ def tree_table(blocks: DataFrame, words: DataFrame, total: int, distinct: int, p
 def _asked(block: Block) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct hashes a block asks about (all words, longer runs that may be frequent), ascending; and the
     longer runs' hashes at each token, 0 where none may be frequent."""
-    runs = [np.where(ok, run, np.uint64(0)) for run, ok, _ in list(block.levels())[1:-1]]
+    runs = [np.where(ok, run, np.uint64(0)) for k, (run, ok, _) in enumerate(block.levels(len(block.maps))) if k]
     return np.unique(np.concatenate([block.words, *(np.unique(r) for r in runs)])), runs
 
 
