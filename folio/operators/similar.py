@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_ROWS = 4096
+KEY_ROWS = 1_000_000
 
 
 def norm(v: Column) -> Column:
@@ -99,11 +100,24 @@ def shingles(words: Column, k: int = 8) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i + 1, k), " ")))
 
 
+def shingle_keys(words: Column, k: int = 8) -> Column:
+    """64-bit hashes of the k-word shingles, without making their texts."""
+    n = F.size(words) - k + 1
+    at = F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
+
+
 def copied_share(answers: DataFrame, passages: DataFrame, key: str, words: str, k: int = 8) -> DataFrame:
     """Per answer and passage with a common shingle: the share of the answer's shingles that the passage has.
-    Shingles meet by an equality join."""
+
+    Passages with a shingle of any answer are found by hashes; only their shingles are compared as texts, by an
+    equality join. The answers' hashes are broadcast up to KEY_ROWS of them, 8 bytes each, and shuffled beyond."""
     mine = answers.select(key, F.explode(shingles(F.col(words), k)).alias("s"))
     total = answers.select(key, F.size(shingles(F.col(words), k)).alias("n"))
-    theirs = passages.select("passage_id", F.explode(shingles(F.col(words), k)).alias("s"))
+    keys = answers.select(F.explode(shingle_keys(F.col(words), k)).alias("h")).distinct()
+    if keys.count() <= KEY_ROWS:
+        keys = F.broadcast(keys)
+    alike = passages.select("passage_id", F.explode(shingle_keys(F.col(words), k)).alias("h")).join(keys, "h", "left_semi").select("passage_id").distinct()
+    theirs = passages.join(alike, "passage_id", "left_semi").select("passage_id", F.explode(shingles(F.col(words), k)).alias("s"))
     common = mine.join(theirs, "s").groupBy(key, "passage_id").agg(F.count("*").alias("common"))
     return common.join(total, key).withColumn("share", F.col("common") / F.col("n"))

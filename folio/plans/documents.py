@@ -123,13 +123,10 @@ def remaining_work(spark, d):
 
 @query()
 def streamed_sequence(spark, d):
-    """Gapless numbers per user from a stream over the events, through the state store."""
-    import tempfile
-    import uuid
-
+    """Gapless numbers per user from a stream over the events, through the state store into a table."""
     schema = table(spark, d, "events").schema
-    name = f"seq_{uuid.uuid4().hex[:8]}"
-    with tempfile.TemporaryDirectory() as checkpoint:
-        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-        E.numbered(stream, "user_id", "event_id").writeStream.format("memory").queryName(name).option("checkpointLocation", spark.conf.get("spark.checkpoint.dir", None) and f"{spark.conf.get('spark.checkpoint.dir')}/{name}" or checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    numbered = E.numbered(stream, "user_id", "event_id")
+    folder = T.run_folder(spark, "sequence")
+    numbered.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(numbered.schema).parquet(f"{folder}/rows")

@@ -132,7 +132,7 @@ def amount_equality(spark, d):
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, text || ' [' || (turn % 4) || '] and [' || (conv_id % 9) || '][2] ०१२' AS answer FROM conversations)
-SELECT conv_id, turn, md5(regexp_replace(answer, '\[\d+\]', ' ', 'g')) AS masked, list_distinct(list_filter(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda s: TRY_CAST(s AS INTEGER)), lambda i: i BETWEEN 1 AND 5)) AS cited_unordered,
+SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(answer, '\[\d\]', '   ', 'g'), '\[\d\d\]', '    ', 'g'), '\[\d\d\d\]', '     ', 'g'), '\[\d\d\d\d\]', '      ', 'g')) AS masked, list_distinct(list_filter(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda s: TRY_CAST(s AS INTEGER)), lambda i: i BETWEEN 1 AND 5)) AS cited_unordered,
   md5(translate(answer, '०१२३४५६७८९', '0123456789')) AS digits FROM a""".replace("list_distinct(", "list_sort(list_distinct(").replace("BETWEEN 1 AND 5))", "BETWEEN 1 AND 5)))"))
 def answers_and_citations(spark, d):
     a = table(spark, d, "conversations").withColumn("answer", F.expr("concat(text, ' [', turn % 4, '] and [', conv_id % 9, '][2] ०१२')"))

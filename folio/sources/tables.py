@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -10,6 +13,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a run's tables, under the folder that the driver and all executors share; a temporary one only
+    where none is named and the executors are threads of the driver."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='folio-')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines (compressed or not) with a stated schema; no rows where the path is absent."""
     return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
