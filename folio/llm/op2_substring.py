@@ -60,12 +60,18 @@ _SEEDS = W.mix(np.arange(101, 101 + LINES.registers, dtype=np.uint64) * np.uint6
 
 
 def anchors(grams: np.ndarray, window: int = SEED) -> np.ndarray:
-    """Places of the least shingle of each `window` places (leftmost of equals; in a run of equal neighbours
+    """Places of the least shingle of each `window` places, 32 at most (of equals either; in a run of equal neighbours
     every window-th)."""
     if len(grams) <= window:
         return np.array([int(grams.argmin())])
-    view = np.lib.stride_tricks.sliding_window_view(grams, window)
-    at = view.argmin(axis=1) + np.arange(len(view))
+    least = (grams & ~np.uint64(31)) | (np.arange(len(grams), dtype=np.uint64) & np.uint64(31))  # low bits tell the place
+    reach = 1
+    while reach < window:
+        step = min(reach, window - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    at = np.arange(len(least))
+    at += ((least & np.uint64(31)).astype(np.int64) - at) & 31
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     same = np.concatenate([[False], (np.diff(at) == 1) & (grams[at[1:]] == grams[at[:-1]])])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
@@ -122,18 +128,18 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
             owner, starts, seeds = [], [], []
             line_owner, units, line_starts, sizes, gram_starts, grams, total = [], [], [], [], [], [], 0
             for i, text in enumerate(texts):
-                words: list[bytes] = []
+                n_words = 0
                 for own in _lines(text) if text else ():
                     if len(own) >= PARAGRAPH:
                         line_owner.append(i)
                         units.append(_line_unit(b" ".join(own)))
-                        line_starts.append(len(words))
-                        gram_starts.append(total + len(words))
+                        line_starts.append(n_words)
+                        gram_starts.append(total + n_words)
                         sizes.append(len(own))
-                    words += own
-                if len(words) < PARAGRAPH:
+                    n_words += len(own)
+                if n_words < PARAGRAPH:
                     continue
-                hashes = W.hash_words(words)
+                hashes = W.text_hashes(text.lower())
                 long_grams = W.windows(hashes, SEED)
                 at = anchors(long_grams)
                 owner.append(i)
@@ -345,7 +351,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in W.chunks(batches, "text"):
         groups, counts, words = [], [], []
         for asked, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            hashes = W.hash_words(text.lower().split())
+            hashes = W.text_hashes(text.lower())
             grams = W.windows(hashes, SEED).view(np.int64)
             for x in asked:
                 at = x["at"]
@@ -367,7 +373,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in W.chunks(batches, "text"):
         spans, after = [], []
         for starts, runs, near, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), texts, strict=True):
-            hashes = W.hash_words(text.lower().split())
+            hashes = W.text_hashes(text.lower())
             beside = {x["group"]: np.frombuffer(x["words"], dtype=np.uint64) for x in near}
             found: dict[tuple[int, int], int] = {}
             for r in sorted(runs, key=lambda r: r["start"] - r["stop"]):
@@ -442,13 +448,12 @@ def near_passage(a: np.ndarray, b: np.ndarray, at: int, at_b: int) -> tuple[int,
 
 
 def _joined(found: DataFrame, repeated: DataFrame, total: int, value: str = "kept_in") -> DataFrame:
-    """found with the value of its group. Groups with over a HOT_SHARE-th of all places, of which there are fewer than
-    HOT_SHARE, are joined by broadcast; the others by shuffling, so no task gets more than such a group. Without
-    a total all are shuffled."""
-    rest = repeated.select("group", value) if not total else repeated.where(F.col("n") <= total / HOT_SHARE).select("group", value)
-    if not total:
-        return found.join(rest, "group")
+    """found with the value of its group. Rows without a group are left out first. Groups with over a HOT_SHARE-th of
+    all places, of which there are fewer than HOT_SHARE, are joined by broadcast; the others by shuffling, so no task
+    gets more than such a group."""
+    found = let_through(found, "group", repeated.select(F.col("group").alias("key")))
     common = F.broadcast(repeated.where(F.col("n") > total / HOT_SHARE).select("group", value))
+    rest = repeated.where(F.col("n") <= total / HOT_SHARE).select("group", value)
     return found.join(common, "group").unionByName(found.join(common.select("group"), "group", "left_anti").join(rest, "group"))
 
 

@@ -4,8 +4,10 @@ Test items are short and documents long, so the similarity of whole documents te
 partitioned by the size of their shingle sets into classes of at most a power of two; for a class of
 size c the documents are searched in blocks of 2c shingles that start every c shingles, so that an item
 of the class lies whole in some block and has at least t*q/(2c + q - t*q) > 0.19 of their union in
-common. With HASHES = 64 minima of one row each, an item at containment 0.8 is missed with probability
-under 2e-6. Minima are made once for segments of the least class size and merged for the larger blocks.
+common if it has more than half of c. The least class is 8 and begins with five shingles. With HASHES = 56
+minima of one row each, an item at containment 0.8 is missed with probability under 1e-5. Minima are made
+once for segments of the least class size and merged for the larger blocks. Items of up to FEW shingles must
+be held whole, so they are found by their least shingle itself, and none is missed.
 
 The items' minima are first summarised in a bit map of fixed size (2 MB), which every task tests its
 blocks' minima against; only those that pass are joined with the items, by an ordinary shuffled join.
@@ -14,7 +16,8 @@ confirmed on the whole document: the share of the item's distinct shingles that
 
 Items with fewer than five words are one shingle of all their words, found as such a run in documents.
 Null, empty and word-less items match nothing; null and empty documents hold nothing. Repeated item or
-document rows give repeated pairs' ids once. Null doc_ids are reported as null.
+document rows give repeated pairs' ids once. Null doc_ids are reported as null. Empty tables give empty ones,
+very long texts are searched whole, in slices of their own. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .bits import held, packed
 from .store import Scratch
 
-SHINGLE, PERCENT, HASHES, LEAST_CLASS = 5, 80, 56, 8
+SHINGLE, PERCENT, HASHES, LEAST_CLASS, FEW = 5, 80, 56, 8, 4
 MAP_BITS = 24
 BROADCAST_ROWS = 100_000
+_NO_DOC = (1 << 63) - 1
 _SEEDS = W.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def size_class(n: int) -> int:
-    """The least power of two, LEAST_CLASS at least, that is no smaller than n."""
-    return max(LEAST_CLASS, 1 << (n - 1).bit_length())
+    """The least power of two, LEAST_CLASS at least, that is no smaller than n; 1 up to FEW."""
+    return 1 if n <= FEW else max(LEAST_CLASS, 1 << (n - 1).bit_length())
 
 
 def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -54,8 +59,9 @@ def keys(mins: np.ndarray, size: int) -> np.ndarray:
     return W.mix(mins * np.uint64(0x9E3779B97F4A7C15) + (_SEEDS ^ np.uint64(size))[None]).view(np.int64)
 
 
-def places(found: np.ndarray) -> np.ndarray:
-    return (found.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def single_keys(grams: np.ndarray) -> np.ndarray:
+    """Signed 64-bit join keys of shingles themselves."""
+    return W.mix(grams ^ np.uint64(1)).view(np.int64)
 
 
 def item_rows(items: DataFrame, shingle: int) -> DataFrame:
@@ -67,9 +73,9 @@ def item_rows(items: DataFrame, shingle: int) -> DataFrame:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = text.lower().split() if text else []
                 if words:
-                    grams = np.unique(W.windows(W.hash_words(words), min(shingle, len(words))))
+                    grams = np.unique(W.windows(W.text_hashes(text.lower()), min(shingle, len(words))))
                     size = size_class(len(grams))
-                    rows.append((item, len(words), size, text, keys(minima(grams, np.array([0])), size)[0].tolist()))
+                    rows.append((item, len(words), size, text, (single_keys(grams[:1]) if size == 1 else keys(minima(grams, np.array([0])), size)[0]).tolist()))
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(("item_id", "n_words", "size", "item", "keys"), map(list, zip(*rows, strict=True)), strict=True)), schema=pa.schema([
                     ("item_id", pa.int64()), ("n_words", pa.int32()), ("size", pa.int32()), ("item", pa.binary()), ("keys", pa.list_(pa.int64()))]))
@@ -83,12 +89,18 @@ def block_keys(grams: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, n
     lengths = np.array([len(g) for g in grams], dtype=np.int64)
     if not lengths.sum():
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    found, owners = [], []
+    if 1 in sizes:
+        found.append(single_keys(np.concatenate(grams)))
+        owners.append(np.repeat(np.arange(len(grams)), lengths))
+        sizes = [s for s in sizes if s > 1]
+        if not sizes:
+            return found[0], owners[0]
     least = min(sizes)
     segments = -(-lengths // least)
     owner = np.repeat(np.arange(len(grams)), segments)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(segments) - segments, segments)
     mins = minima(np.concatenate(grams), np.repeat(np.cumsum(lengths) - lengths, segments) + within * least)
-    found, owners = [], []
     for size in sizes:
         starts = np.flatnonzero(within % (size // least) == 0)
         parts = np.minimum.reduceat(mins, starts, axis=0) if size > least else mins
@@ -113,27 +125,15 @@ def candidates(docs: DataFrame, items: DataFrame, shingle: int) -> DataFrame:
     for width, size in sorted(classes):
         by_width.setdefault(width, []).append(size)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS, dtype=bool)
-        for batch in batches:
-            bits[places(np.asarray(batch.column(0)))] = True
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32))], names=["bit"])
-
-    # at most 2^MAP_BITS distinct places however many items there are
-    spark = docs.sparkSession
-    set_bits = np.array(exploded.select("key").mapInArrow(fold, "bit int").distinct().toPandas()["bit"], dtype=np.int64)
-    packed = np.zeros(1 << MAP_BITS, dtype=bool)
-    packed[set_bits] = True
-    shared = spark.sparkContext.broadcast(np.packbits(packed))
+    shared = docs.sparkSession.sparkContext.broadcast(packed(exploded.select("key"), MAP_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
+        bits = shared.value
         for batch, texts in W.chunks(batches, "text", 1_000_000):
-            hashes = [W.hash_words(t.lower().split() if t else []) for t in texts]
+            hashes = [W.text_hashes(t.lower() if t else b"") for t in texts]
             for width, sizes in by_width.items():
                 own, owner = block_keys([W.windows(h, width) for h in hashes], sizes)
-                hit = bits[places(own)]
+                hit = held(bits, own.view(np.uint64))
                 pairs = np.unique(np.stack([owner[hit], own[hit]], axis=1), axis=0)
                 if len(pairs):
                     take = pa.array(pairs[:, 0])
@@ -155,22 +155,22 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent
     if found.count() <= BROADCAST_ROWS:  # 16 bytes a row; beyond it both sides are shuffled
         wanted = F.broadcast(wanted)
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    held = keyed.join(wanted, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
-    held = held.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
-    joined = pairs.join(held, pairs["doc_id"].eqNullSafe(held["__doc"]) & (pairs["text_hash"] == held["__hash"]))
+    texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
+    texts = texts.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
+    joined = pairs.join(texts, pairs["doc_id"].eqNullSafe(texts["__doc"]) & (pairs["text_hash"] == texts["__hash"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, dict[int, np.ndarray]] = (None, {})
-        for batch in batches:
+        for batch, texts in W.chunks(batches, "text"):
             sizes, common = [], []
-            for item, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for item, text in zip(batch.column(3).to_pylist(), texts, strict=True):
                 if text != last[0]:
                     last = text, {}
                 words = item.lower().split()
                 width = min(shingle, len(words))
                 if width not in last[1]:
-                    last[1][width] = np.unique(W.windows(W.hash_words(text.lower().split()), width))
-                grams = np.unique(W.windows(W.hash_words(words), width))
+                    last[1][width] = np.unique(W.windows(W.text_hashes(text.lower()), width))
+                grams = np.unique(W.windows(W.text_hashes(item.lower()), width))
                 sizes.append(len(grams))
                 common.append(len(np.intersect1d(grams, last[1][width], assume_unique=True)))
             keep = pa.array([100 * c >= percent * n for c, n in zip(common, sizes, strict=True)], pa.bool_())
@@ -182,11 +182,11 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, text: str = "text") -> DataFrame:
-    """The rows of docs that hold no item; other columns pass through."""
-    own = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("text"))
-    bad = contained(own, items, scratch=scratch).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
-    hashed = F.xxhash64(docs[f"`{text}`"].cast("string"))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__doc"]) & (hashed == bad["__hash"]), "left_anti")
+    """The rows of docs that hold no item; other columns pass through, whatever their names."""
+    own = docs.select(F.col("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    bad = contained(own, items, scratch=scratch).select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), F.col("doc_id").isNull().alias("none"), "text_hash").distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("doc"), F.col("doc_id").isNull().alias("none"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"), F.struct("*").alias("row"))
+    return rows.join(bad, ["doc", "none", "text_hash"], "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -55,6 +55,46 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=U64, count=len(words))
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE, _INVERSE = 0x9FB21C651E98DF25, pow(0x9FB21C651E98DF25, -1, 1 << 64)
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
+SEGMENT = 1 << 20
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n at least."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, x in enumerate((_BASE, _INVERSE)):
+            _POWERS[k] = np.multiply.accumulate(np.concatenate([np.ones(1, dtype=U64), np.full(size - 1, x, dtype=U64)]))
+    return _POWERS
+
+
+def text_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text (lower-cased by the caller), all at once: a polynomial in its bytes,
+    mixed with its length. They aren't those of hash_words."""
+    out, at = [], 0
+    while at < len(text):
+        stop = at + SEGMENT
+        if stop < len(text):  # segments end between words
+            cut = max(text.rfind(c, at, stop) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            while cut < 0 and stop < len(text):
+                cut = stop if _SPACE[text[stop]] else -1
+                stop += 1
+            stop = cut if cut >= 0 else len(text)
+        data = np.frombuffer(text, dtype=np.uint8, count=min(stop, len(text)) - at, offset=at)
+        at += max(1, len(data))
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            up, down = _powers(len(data))
+            sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum((data + U64(1)) * up[: len(data)])])
+            found = (sums[ends] - sums[starts]) * down[starts]
+            out.append(mix(found ^ mix((ends - starts).astype(U64))))
+    return np.concatenate(out) if out else np.empty(0, dtype=U64)
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive words (empty when there are fewer)."""
     n = len(hashes) - k + 1
@@ -72,12 +112,9 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
 
     Fewer than k words: the whole sequence is one shingle. No word: no shingle.
     """
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=U64)
-    hashes = hash_words(words)
-    if len(words) < k:
-        return windows(hashes, len(words)) ^ U64(len(words))
+    hashes = text_hashes(text.lower()) if text else np.empty(0, dtype=U64)
+    if len(hashes) < k:
+        return windows(hashes, len(hashes)) ^ U64(len(hashes)) if len(hashes) else hashes
     return np.unique(windows(hashes, k))
 
 
