@@ -38,7 +38,7 @@ from . import words as W
 from .bits import held as in_map, packed
 from .store import Scratch
 
-MIN_COUNT, DEPTH, DISCOUNT = 64, 3, 0.75
+MIN_COUNT, DEPTH, DISCOUNT = 32, 3, 0.75
 BLOCK_TOKENS, PART_TOKENS = 2_000_000, 1 << 22
 PARTS = 512
 END, START = b"\n", b"\n\n"  # no word holds them
@@ -63,6 +63,7 @@ def block_table(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         ids, marks, tokens, total = [], [], [], 0
+        edge = W.hash_words([START, END])
 
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in tokens], dtype=np.int64)
@@ -76,7 +77,7 @@ def block_table(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 ids.append(doc_id)
                 marks.append(doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == rest)
-                tokens.append(W.hash_words([START, *(text.lower().split() if text else ()), END]))
+                tokens.append(np.concatenate([edge[:1], W.text_hashes(text.lower()), edge[1:]]) if text else edge)
                 total += len(tokens[-1])
                 if total >= BLOCK_TOKENS:
                     yield flush()
