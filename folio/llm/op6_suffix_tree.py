@@ -11,8 +11,8 @@ words by their counts plus one. A context is retained, with its suffixes, if its
 the shorter one's by more than it costs: the sum of count * log ratio, over half a log of its count for each
 word it holds. A word's probability is that of the longest retained context.
 
-Tables. Documents are cut into blocks of bounded token counts. A block sends its distinct runs, not its tokens,
-as sorted arrays dealt out by the high bits of their hashes, to be counted; at the end it asks for the values
+Tables. Documents are cut into blocks of bounded token counts. A task sends the distinct runs of its blocks, not
+their tokens, as sorted arrays dealt out by the high bits of their hashes, to be counted; at the end it asks for the values
 of its own runs in the same way. Levels, tests and probabilities are tables of frequent runs, joined by
 shuffling. Which runs may be frequent is told to blocks by bit maps of fixed size, which let none be missed.
 Nothing that grows with the corpus reaches the driver or is broadcast. Words and runs go by 64-bit hashes.
@@ -40,7 +40,7 @@ from .store import Scratch
 
 MIN_COUNT, DEPTH, DISCOUNT = 32, 3, 0.75
 BLOCK_TOKENS, PART_TOKENS = 2_000_000, 1 << 22
-PARTS = 512
+PARTS, COMBINED = 512, 4_000_000
 END, START = b"\n", b"\n\n"  # no word holds them
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BLOCKS = "block long, doc_ids array<long>, held binary, sizes binary, places binary, words binary, counts binary"
@@ -198,7 +198,23 @@ def longer_runs(blocks: DataFrame, maps: list[np.ndarray], parts: int, least: in
     names = ["part", "contexts", "suffixes", "sizes", "words", "counts"]
     schema = "part int, " + ", ".join(f"{n} binary" for n in names[1:])
 
+    def sent(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Runs of several blocks of a task, each once, by part of their contexts."""
+        contexts, suffixes, last, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        _, first, place = np.unique(W.mix(contexts * GOLD + last), return_index=True, return_inverse=True)
+        counts = np.bincount(place, weights=counts, minlength=len(first)).astype(np.int64)
+        order = np.argsort(contexts[first], kind="stable")
+        at, counts = first[order], counts[order]
+        contexts, suffixes, last = contexts[at], suffixes[at], last[at]
+        head = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(at) else np.empty(0, dtype=np.int64)
+        sizes, heads, suffixes = np.diff(head, append=len(at)), contexts[head], suffixes[head]
+        edges = by_part(heads, parts)
+        inner = np.concatenate([head, [len(at)]])
+        rows = [(p, heads[a:b].tobytes(), suffixes[a:b].tobytes(), planes(sizes[a:b]), last[inner[a] : inner[b]].tobytes(), planes(counts[inner[a] : inner[b]])) for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=names)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 block = Block(batch, i, shared.value)
@@ -208,17 +224,14 @@ def longer_runs(blocks: DataFrame, maps: list[np.ndarray], parts: int, least: in
                 at = np.flatnonzero(possible & ~np.repeat(block.marks, block.sizes))
                 _, first, counts = np.unique(run[at], return_index=True, return_counts=True)
                 at = at[first]
-                contexts = before[-2][at - 1]
-                order = np.argsort(contexts, kind="stable")
-                at, contexts, counts = at[order], contexts[order], counts[order]
-                head = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(at) else np.empty(0, dtype=np.int64)
-                sizes, heads = np.diff(head, append=len(at)), contexts[head]
-                suffixes = before[-3][at[head] - 1] if len(shared.value) > 1 else np.zeros(len(head), dtype=np.uint64)
-                last = block.words[block.places[at]]
-                cuts = by_part(heads, parts)
-                inner = np.concatenate([head, [len(at)]])
-                rows = [(p, heads[a:b].tobytes(), suffixes[a:b].tobytes(), planes(sizes[a:b]), last[inner[a] : inner[b]].tobytes(), planes(counts[inner[a] : inner[b]])) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=names)
+                suffixes = before[-3][at - 1] if len(shared.value) > 1 else np.zeros(len(at), dtype=np.uint64)
+                found.append((before[-2][at - 1], suffixes, block.words[block.places[at]], counts))
+                held += len(at)
+                if held >= COMBINED:
+                    yield sent(found)
+                    found, held = [], 0
+        if found:
+            yield sent(found)
 
     def fold(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.concatenate([from_planes(x) for x in _binaries(rows, 3)])
