@@ -377,3 +377,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs, shingle=4, percent=80, scratch=Scratch(spark, "op3"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The same rows by exact Jaccard of all pairs that share a shingle, and closure over links.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, doc_id, array_to_string(w[j : j + 3], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS j FROM d WHERE len(w) > 0)),
+n AS (SELECT r, doc_id, count(*) AS n FROM g GROUP BY 1, 2),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT x.doc_id AS u, y.doc_id AS v FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c) AND x.doc_id <> y.doc_id),
+reach AS (SELECT DISTINCT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least.component_id, d.doc_id = least.component_id AS kept FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN least ON least.u = d.doc_id
+"""

@@ -195,3 +195,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = contained(docs, items, scratch=Scratch(spark, "op7"))
     return found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_common").alias("n_common"))
+
+
+#: The same pairs by the shingles of all items and documents.
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+k AS (SELECT *, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, k, array_to_string(w[j : j + k - 1], ' ') AS g FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS j FROM k)),
+n AS (SELECT item_id, k, count(*) AS n_item FROM ig GROUP BY 1, 2),
+dg AS (SELECT DISTINCT r, doc_id, k, array_to_string(w[j : j + k - 1], ' ') AS g FROM (SELECT r, doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS j FROM w, (SELECT DISTINCT k FROM k))),
+c AS (SELECT r, doc_id, item_id, k, count(*) AS n_common FROM dg JOIN ig USING (k, g) GROUP BY 1, 2, 3, 4)
+SELECT doc_id, item_id, max(n_item) AS n_item, max(n_common) AS n_common FROM c JOIN n USING (item_id, k) WHERE 100 * n_common >= 80 * n_item GROUP BY 1, 2
+"""

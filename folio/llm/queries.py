@@ -23,4 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality": op1_quality.SQL,
+        "op3_minhash": op3_minhash.SQL,
+        "op7_decontaminate": op7_decontaminate.SQL,
     }
