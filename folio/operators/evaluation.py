@@ -160,9 +160,17 @@ def listed(df: DataFrame, contains: str | None = None, columns: list[str] | None
     return out.orderBy(*order) if order else out
 
 
-def text_classifier(df: DataFrame, text: str, label: str, weight: str | None = None, features: int = 1 << 14):
-    """TF-IDF of words and word pairs under a logistic regression; a fitted pipeline. Hashed features need no
-    vocabulary on the driver."""
+def balanced(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
+    """df with weights by which all labels count alike: rows over labels times the label's rows."""
+    n = df.groupBy(label).agg(F.count("*").alias("__n"))  # one row a label
+    all_ = Window.partitionBy(F.lit(0))
+    share = n.select(label, (F.sum("__n").over(all_) / (F.count("*").over(all_) * F.col("__n"))).alias(weight))
+    return df.join(F.broadcast(share), label)
+
+
+def text_classifier(df: DataFrame, text: str, label: str, weight: str | None = None, features: int = 1 << 17):
+    """TF-IDF of words and word pairs under a logistic regression; a fitted pipeline. Features are hashed into as many
+    buckets of either kind, so no vocabulary comes to the driver; counts are plain, not logarithmic."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, VectorAssembler
