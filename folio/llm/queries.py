@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op2_substring, op3_minhash, op4_bpe, op5_html, op6_suffix_tree, op7_decontaminate, op8_toxicity, op9_repair, op10_langid
+from . import op1_quality, op2_substring, op3_minhash, op4_bpe, op5_html, op6_suffix_tree, op7_decontaminate, op8_toxicity, op9_repair, op10_langid, op11_token_counts, op12_manifest, op13_filter_audit
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity.query,
         "op9_repair": op9_repair.query,
         "op10_langid": op10_langid.query,
+        "op11_token_counts": op11_token_counts.query,
+        "op12_manifest": op12_manifest.query,
+        "op13_filter_audit": op13_filter_audit.query,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality": op1_quality.SQL,
         "op3_minhash": op3_minhash.SQL,
         "op7_decontaminate": op7_decontaminate.SQL,
+        "op12_manifest": op12_manifest.SQL,
+        "op13_filter_audit": op13_filter_audit.SQL,
     }
