@@ -164,15 +164,18 @@ def repeated_spans(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     where kept_in is the doc_id that keeps the passage; spans may overlap."""
     scratch = scratch or Scratch(docs.sparkSession, "substring")
     table = scratch.save(paragraph_table(docs), "paragraphs")
-    of_lines = scratch.save(line_spans(docs, table.where("unit is not null"), scratch), "of-lines")
+    linking = Scratch(docs.sparkSession, "substring-lines")
+    of_lines = scratch.save(line_spans(docs, table.where("unit is not null"), scratch, linking), "of-lines")
+    linking.drop()
+    scratch.drop("lines")
     aligned, rest = seed_spans(docs, table.where("seeds is not null"), scratch)
     parts = of_lines.unionByName(aligned).unionByName(rest)
     found = scratch.save(parts.where("size(spans) > 0").groupBy(*DOC).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
-    scratch.drop("paragraphs", "of-lines", "lines", "repeated", "possible", "places", "leads", "runs", "contexts", "ends", "aligned")
+    scratch.drop("paragraphs", "of-lines", "aligned")
     return found
 
 
-def line_spans(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+def line_spans(docs: DataFrame, lines: DataFrame, scratch: Scratch, linking: Scratch) -> DataFrame:
     """Per document the lines that near copies of them in documents with a smaller doc_id make superfluous."""
     sketches = lines.select(*DOC, "n_shingles", F.col("unit").alias("set_hash"), "registers", "bands")
     nodes = scratch.save(nodes_of(sketches), "lines")
@@ -181,7 +184,7 @@ def line_spans(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame
         asked = needed.groupBy(*DOC).agg(F.collect_list("node").alias("asked"))  # lines of one document
         return _texts(docs, asked).select("asked", "text").mapInArrow(_asked_lines, "node long, text binary")
 
-    labels = linked_nodes(nodes, find, Scratch(docs.sparkSession, "substring-lines"), SHINGLE, PERCENT, LINES)
+    labels = linked_nodes(nodes, find, linking, SHINGLE, PERCENT, LINES)
     members = nodes.select("node", "least", "n").join(labels, "node")
     names = members.groupBy("component").agg(F.min("least").alias("kept_in"))
     named = members.join(names, "component").select(F.col("node").alias("group"), "kept_in", "n")
@@ -230,6 +233,7 @@ def seed_spans(docs: DataFrame, table: DataFrame, scratch: Scratch) -> tuple[Dat
     by_doc = others.groupBy(*DOC).agg(F.collect_list("p").alias("rest"))  # at most as many as the document has seeds
     hot_places = possible.select(*DOC, F.filter("hot", lambda p: p["kept_in"] != F.col("doc_id")).alias("hot")).where("size(hot) > 0")
     runs = scratch.save(_runs_of(by_doc.join(hot_places, DOC, "full"), hot_leads), "runs")
+    scratch.drop("repeated", "possible", "places", "leads")
 
     ends = runs.select(*DOC, F.explode("ends").alias("e")).select(*DOC, F.col("e.group").alias("group"), "e.lead_doc", "e.lead_hash", "e.at")
     ends = scratch.save(ends, "ends")
@@ -241,6 +245,7 @@ def seed_spans(docs: DataFrame, table: DataFrame, scratch: Scratch) -> tuple[Dat
     work = runs.select(*DOC, "starts", "runs").join(near, DOC)
     aligned = _texts(docs, work).select(*DOC, "starts", "runs", "near", "text").mapInArrow(_aligned, f"doc_id long, text_hash long, spans {SPANS}, after array<struct<start:int,group:long,open:boolean>>")
     aligned = scratch.save(aligned, "aligned")
+    scratch.drop("runs", "contexts", "ends")
     return aligned.select(*DOC, "spans"), _equal_after(aligned)
 
 

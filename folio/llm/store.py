@@ -9,11 +9,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+FREE_EVERY_S = 10
+_FREED = [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished queries: it does so when the driver's JVM has collected
+    what refers to them, which a job of many short passes would otherwise wait for until its disks are full."""
+    if time.monotonic() - _FREED[0] > FREE_EVERY_S:
+        spark._jvm.java.lang.System.gc()
+        _FREED[0] = time.monotonic()
+
+
 class Scratch:
     """Tables of one run, under a folder of its own."""
 
@@ -44,10 +55,11 @@ class Scratch:
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", compression).parquet(path)
+        free_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no returned DataFrame reads."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        """Delete tables that no returned DataFrame reads; all of the run's if none is named."""
+        for path in [f"{self.root}/{n}" for n in names] or [self.root]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
