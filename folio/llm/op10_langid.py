@@ -3,8 +3,8 @@
 Subwords are the letter n-grams of two to four characters, with a boundary mark at either end of a
 word, hashed into ``BUCKETS`` rows of an embedding table. A text is the mean of its subwords' rows; a
 linear softmax over that mean gives the languages. The model is fitted by stochastic gradient descent
-in NumPy on a bounded sample of labelled rows (``PER_LANGUAGE`` texts of each language, chosen by the
-hash of doc_id; languages with fewer give all). A held-back fifth of the sample calibrates a
+in NumPy on a bounded sample of labelled rows (``PER_LANGUAGE`` texts of each language, of ``LANGUAGE_BYTES``
+in all, chosen by the hash of doc_id and text; languages with fewer give all). A held-back fifth of the sample calibrates a
 temperature and the rejection threshold. Because the classifier is linear, table and softmax weights
 collapse into one score per bucket and language, and whole texts are scored by gathers and sums.
 
@@ -31,6 +31,7 @@ BUCKETS = 1 << 16
 DIM = 12
 GRAMS = (2, 3, 4)
 PER_LANGUAGE = 1200
+LANGUAGE_BYTES = 64_000_000
 EPOCHS = 4
 RATE = 4.0
 REJECTED_SHARE = 0.001
@@ -168,16 +169,19 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     return model
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most about per_language labelled texts of each language, chosen by the hash of doc_id."""
-    usable = docs.where("lang is not null and text is not null and length(text) > 0")
-    place = F.xxhash64(F.col("doc_id"), F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = LANGUAGE_BYTES) -> tuple[list[str], list[str]]:
+    """At most about per_language labelled texts and most_bytes of each language, chosen by the hash of doc_id and
+    text, so that neither a repeated doc_id nor null ones come all together; rows that repeat both count once."""
+    usable = docs.where("lang is not null and text is not null and length(text) > 0").select("doc_id", "lang", "text", F.xxhash64("text").alias("hash"))
+    span = 1 << 40
+    place = F.xxhash64(F.col("doc_id"), F.col("hash"), F.lit(11)).bitwiseAND(F.lit(span - 1))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(place, 0.02).alias("distinct"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     if not counts:
         return [], []
-    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_language / n) * (1 << 40)))])
-    rows = usable.where(place < bound[F.col("lang")]).select("doc_id", "lang", "text").collect()
-    rows.sort(key=lambda r: (W.crc_mod(r["doc_id"], 1 << 31), r["doc_id"] or 0, r["text"]))
+    share = {r["lang"]: min(1.0, per_language / r["distinct"], most_bytes * r["n"] / (r["bytes"] * r["distinct"])) for r in counts}
+    bound = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, int(s * span))])
+    rows = usable.where(place < bound[F.col("lang")]).dropDuplicates(["doc_id", "hash", "lang"]).select("doc_id", "lang", "text").collect()
+    rows.sort(key=lambda r: (W.crc_mod(r["doc_id"], 1 << 31), r["doc_id"] or 0, r["text"], r["lang"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

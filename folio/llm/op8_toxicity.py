@@ -12,8 +12,8 @@ haven't seen, so that the best decision (largest F1) is 0.7; a score equal to th
 The dictionaries are chosen here and not by zstandard's own trainer, which was tried: it takes what is
 frequent in a kind of text, and what tells toxic text is rare in it.
 
-Learning uses at most about TOXIC_ROWS toxic and ORDINARY_ROWS other labelled rows, chosen by the hash of
-doc_id; everything sent to executors has a fixed size. Scoring reads whole texts.
+Learning uses at most about TOXIC_ROWS toxic and ORDINARY_ROWS other labelled rows and SAMPLE_BYTES of either kind,
+chosen by hashes of doc_id and text; everything sent to executors has a fixed size. Scoring reads whole texts.
 
 Null, empty and word-less texts have the lowest score. Without labels of both kinds every score is the
 share of toxic labels. Repeated rows are scored alike, a doc_id labelled twice counts as toxic if any of
@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from . import words as W
 
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
+SAMPLE_BYTES = 128_000_000
 WINDOW, STEP, GRAM = 10, 5, 6
 SHARED_BYTES, OWN_BYTES = 30_000, 2_000
 MIN_CONTEXTS, ROWS_PER_CONTEXT, MIN_LOG_ODDS = 4, 150, 3.0
@@ -195,17 +196,30 @@ def fit(texts: list[bytes], toxic: list[int], others: float = 1.0, folds: int =
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> tuple[list[bytes], list[int], float]:
-    """Labelled texts: about so many of either kind at most, chosen by the hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int], float]:
+    """Labelled texts: about so many of either kind at most, and most_bytes of either kind, chosen by hashes.
+
+    Labels are chosen by their doc_id; where these lead to more rows than asked for, as one doc_id may stand in any number
+    of them, rows are chosen by doc_id and text. Rows that repeat both count once."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    bound = F.when(F.col("toxic") > 0, int(min(1.0, toxic_rows / max(1, counts.get(1, 0))) * (1 << 40))).otherwise(int(min(1.0, ordinary_rows / max(1, counts.get(0, 0))) * (1 << 40)))
-    place = F.xxhash64(F.col("doc_id"), F.lit(23)).bitwiseAND(F.lit((1 << 40) - 1))
-    chosen = known.where(place < bound)  # toxic_rows + ordinary_rows rows of 12 bytes, about
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").where("text is not null").collect()
+    known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    most = {1: toxic_rows, 0: ordinary_rows}
+    span = 1 << 40
+    place = lambda *of: F.xxhash64(*of).bitwiseAND(F.lit(span - 1))
+    below = lambda share: F.when(F.col("toxic") > 0, int(share[1] * span)).otherwise(int(share[0] * span))
+    chosen = known.where(place(F.col("doc_id"), F.lit(23)) < below({k: min(1.0, n / max(1, counts.get(k, 0))) for k, n in most.items()}))
+    # toxic_rows + ordinary_rows rows of 12 bytes, about
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").withColumn("hash", F.xxhash64("text"))
+    found = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("doc_id", "hash"), 0.02).alias("distinct"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    share = {1: 1.0, 0: 1.0}
+    for r in found:
+        rest = r["distinct"] / r["n"]  # a copy of a row adds nothing
+        share[r["toxic"]] = min(1.0, 1.1 * most[r["toxic"]] / (r["n"] * min(1.0, 1.05 * rest)), most_bytes / max(1, r["bytes"] * rest))
+    rows = rows.where((place(F.col("doc_id"), F.col("hash"), F.lit(29)) < below(share))).dropDuplicates(["doc_id", "hash"]).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
     others = max(1.0, counts.get(0, 0) / ordinary_rows) / max(1.0, counts.get(1, 0) / toxic_rows)
-    return [bytes(r["text"]) for r in rows], [int(r["toxic"] > 0) for r in rows], others
+    return [bytes(r["text"]) for r in rows], [r["toxic"] for r in rows], others
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
