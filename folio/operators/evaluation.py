@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .prefix import numbered as placed_in, running
 from .stats import hash_draw, wilson
 
 
@@ -11,7 +12,7 @@ def permutation_p(df: DataFrame, x: str, y: str, key: str, times: int = 200, see
     """One row: (hits + 1) / (times + 1), a hit being a shuffled correlation as large as the observed one.
     x stays and y is dealt anew by the order of a digest; ranks are within one shuffle, so nothing is global."""
     observed = df.agg(F.abs(F.corr(x, y)).alias("observed"))
-    numbered = df.select(x, y, key).withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))  # a sample of rated items
+    numbered = placed_in(df.select(x, y, key), [key], "__i").withColumn("__i", F.col("__i") + 1)
     rounds = numbered.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(times))))
     place = F.row_number().over(Window.partitionBy("round").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "round", key)), key))
     dealt = rounds.select("round", place.alias("__i"), F.col(y).alias("__y"))
@@ -36,8 +37,7 @@ def constrained_threshold(df: DataFrame, answerable: str, score: str, most_refus
     a = df.where(answerable)
     total = a.agg(F.count("*").alias("n"), F.count_if(F.col(score).isNull()).alias("nulls"))
     at = a.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # distinct scores
-    judged = at.withColumn("below", below).crossJoin(F.broadcast(total))
+    judged = running(at, [score], {"to": F.col("c")}).withColumn("below", F.col("to") - F.col("c")).crossJoin(F.broadcast(total))
     return judged.where((F.col("below") + F.col("nulls")) / F.col("n") <= most_refused).agg(F.max(score).alias("threshold"))
 
 

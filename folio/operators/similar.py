@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .prefix import running
+
 BLOCK_ROWS = 4096
 KEY_ROWS = 1_000_000
 
@@ -87,9 +89,8 @@ def badge(novelty_: Column, unusual_below: float = 0.10, common_above: float = 0
 
 def choose_tau(rated: DataFrame, similarity: str, same: str, precision: float = 0.9, least: int = 10) -> DataFrame:
     """One row: the lowest similarity at or above which rated pairs are the same often enough."""
-    w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)  # distinct similarities of rated pairs
     at = rated.groupBy(F.col(similarity).alias("t")).agg(F.count("*").alias("n"), F.sum(F.col(same).cast("int")).alias("s"))
-    run = at.select("t", F.sum("n").over(w).alias("n"), F.sum("s").over(w).alias("s"))
+    run = running(at.withColumnsRenamed({"n": "n_at", "s": "s_at"}), [F.desc("t")], {"n": F.col("n_at"), "s": F.col("s_at")})
     return run.where((F.col("n") >= least) & (F.col("s") / F.col("n") >= precision)).agg(F.min("t").alias("tau"))
 
 

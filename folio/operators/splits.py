@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import band_join
+from .prefix import numbered
 
 
 def group_bucket(group: Column | str, seed: int = 2026) -> Column:
@@ -20,12 +21,11 @@ def split_by_group(df: DataFrame, group: str, held_out: float = 0.1, seed: int =
 def time_split(records: DataFrame, first_test: Column, dev_share: float = 0.5) -> DataFrame:
     """train before the first test day; later records dev, then test, by date and id in the given share; a
     record whose company has a test document is left out ("excluded"). records: (id, company, day)."""
-    from pyspark.sql import Window
-
     cut = records.withColumn("late", F.col("day") >= first_test)
     late = cut.where("late")
-    n_dev = F.round(F.count("*").over(Window.partitionBy("late")) * dev_share, 0)
-    placed = late.withColumn("slice", F.when(F.row_number().over(Window.partitionBy("late").orderBy("day", "id")) <= n_dev, "dev").otherwise("test"))
+    n_dev = late.agg(F.round(F.count("*") * dev_share, 0).alias("__dev"))  # one row
+    placed = numbered(late, ["day", "id"], "__n").crossJoin(F.broadcast(n_dev))
+    placed = placed.withColumn("slice", F.when(F.col("__n") < F.col("__dev"), "dev").otherwise("test")).drop("__n", "__dev")
     everything = placed.unionByName(cut.where("not late").withColumn("slice", F.lit("train"))).drop("late")
     tested = everything.where("slice = 'test'").select("company").distinct().withColumn("__t", F.lit(True))
     joined = everything.join(tested, "company", "left")

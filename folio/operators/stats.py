@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .prefix import running
+
 
 def confusion(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
@@ -117,13 +119,13 @@ def cluster_bootstrap(df: DataFrame, group: str, value: str, resamples: int = 10
 
 def tune_threshold(df: DataFrame, answerable: str, score: str) -> DataFrame:
     """One row: the score threshold with the largest balanced accuracy (lower on ties). Cumulative counts
-    over distinct scores, so no candidate meets every row."""
+    over distinct scores, dealt out by range, so no candidate meets every row and no task every score."""
     a = F.col(answerable)
     total = df.agg(F.sum(a.cast("int")).alias("na"), F.sum((~a).cast("int")).alias("nu"))
     at = df.groupBy(score).agg(F.sum(a.cast("int")).alias("a"), F.sum((~a).cast("int")).alias("u")).where(F.col(score).isNotNull())
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # over distinct scores
-    upper = Window.orderBy(score).rowsBetween(0, Window.unboundedFollowing)
-    judged = at.select(score, F.sum("a").over(upper).alias("kept"), F.coalesce(F.sum("u").over(below), F.lit(0)).alias("below_u"))
+    sums = running(at, [score], {"to_a": F.col("a"), "to_u": F.col("u")})
+    all_a = at.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("known_a"))
+    judged = sums.crossJoin(F.broadcast(all_a)).select(score, (F.col("known_a") - F.col("to_a") + F.col("a")).alias("kept"), (F.col("to_u") - F.col("u")).alias("below_u"))
     nulls = df.where(F.col(score).isNull() & ~a).agg(F.count("*").alias("null_u"))
     judged = judged.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(nulls))
     balanced = (F.col("kept") / F.col("na") + (F.col("below_u") + F.col("null_u")) / F.col("nu")) / 2

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .prefix import numbered
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, to: str = "rank") -> DataFrame:
     """The first k rows of each group, with their rank."""
@@ -132,9 +134,9 @@ def even_spread(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """Up to k rows evenly spaced over the ordered rows."""
     n = df.count()
     step = max(1.0, n / k)
-    numbered = df.withColumn("__n", F.row_number().over(Window.orderBy(*order)) - 1)
-    wanted = df.sparkSession.range(min(k, n)).select(F.floor(F.col("id") * step).cast("int").alias("__n"))
-    return numbered.join(F.broadcast(wanted), "__n").drop("__n")
+    placed = numbered(df, order, "__n")
+    wanted = df.sparkSession.range(min(k, n)).select(F.floor(F.col("id") * step).cast("long").alias("__n"))
+    return placed.join(F.broadcast(wanted), "__n").drop("__n")
 
 
 def largest_per_group(df: DataFrame, by: list[str], n_groups: int, per_group: int, key: str, seed: int = 2026) -> DataFrame:

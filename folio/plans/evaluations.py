@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation as V
+from ..operators import evaluation as V, prefix as P
 from .registry import query, table
 
 
@@ -141,3 +141,17 @@ def text_classifier(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("label", F.col("toxic").cast("double"))
     model = V.text_classifier(V.balanced(rows.where("doc_id % 4 <> 0"), "label"), "text", "label", "weight")
     return model.transform(rows.where("doc_id % 4 = 0")).select("doc_id", "toxic", F.col("prediction").cast("int").alias("predicted"))
+
+
+@query("""WITH q AS (SELECT coalesce(source, '') AS source, quality = 1 AS yes, CAST(n_chars AS DOUBLE) AS s FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+n AS (SELECT source, count(*) FILTER (yes) AS na, count(*) FILTER (NOT yes) AS nu FROM q GROUP BY 1), c AS (SELECT DISTINCT g.source, q.s AS t FROM n g JOIN q ON q.source <> g.source WHERE q.s IS NOT NULL),
+k AS (SELECT source, t FROM c UNION SELECT source, min(t) - 1 FROM c GROUP BY 1),
+b AS (SELECT k.source, k.t, ((count(*) FILTER (q.yes AND q.s >= k.t))::DOUBLE / count(*) FILTER (q.yes) + (count(*) FILTER (NOT q.yes AND (q.s IS NULL OR q.s < k.t)))::DOUBLE / count(*) FILTER (NOT q.yes)) / 2 AS balanced FROM k JOIN q ON q.source <> k.source GROUP BY 1, 2),
+r AS (SELECT source, t, row_number() OVER (PARTITION BY source ORDER BY round(balanced, 12) DESC, t) AS n FROM b)
+SELECT n.source, r.t AS threshold, n.nu AS unanswerable, count(*) FILTER (NOT q.yes AND (q.s IS NULL OR q.s < r.t)) AS abstained, n.na AS answerable, count(*) FILTER (q.yes AND (q.s IS NULL OR q.s < r.t)) AS wrongly_abstained
+FROM n JOIN r ON r.source = n.source AND r.n = 1 JOIN q ON q.source = n.source GROUP BY ALL""")
+def held_out_source_thresholds(spark, d):
+    """The length from which documents count as good, tuned on all other sources for each source, and how it does there."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_chars")
+    rated = docs.join(table(spark, d, "labels").where("quality is not null").select("doc_id", (F.col("quality") == 1).alias("good")), "doc_id")
+    return P.held_out_thresholds(rated, "source", "good", "n_chars")
