@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as D
 from ..sources import tables as T
 from ..streaming import events as E
-from .registry import query, table, whole
+from .registry import query, table
 
 
 def _lines(spark, d):
@@ -37,13 +37,8 @@ def redacted_addresses(spark, d):
     return table(spark, d, "orders").select("o_orderkey", D.redacted(text).alias("text"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 5 + 1 AS n FROM orders WHERE o_orderkey % 10 = 0) SELECT k, CAST(number AS INTEGER) AS number, 'Risk ' || number || ' of ' || k || '. See 99.' AS risk FROM (SELECT k, unnest(range(1, n + 1)) AS number FROM r)""")
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 5 + 1 AS n FROM orders) SELECT k, CAST(number AS INTEGER) AS number, 'Risk ' || number || ' of ' || k || '. See 99.' AS risk FROM (SELECT k, unnest(range(1, n + 1)) AS number FROM r)""")
 def numbered_risks(spark, d):
-    return _risks(table(spark, d, "orders").where("o_orderkey % 10 = 0"))
-
-
-@query(whole("numbered_risks", "o_orderkey % 10 = 0"))
-def all_numbered_risks(spark, d):
     return _risks(table(spark, d, "orders"))
 
 
@@ -53,13 +48,8 @@ def _risks(o):
     return D.numbered_risks(r, "k", "t")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 20 = 0) SELECT k, CAST(CASE WHEN k % 3 <> 0 THEN day END AS DATE) AS day, '/doc/' || k AS link, 'Offer ' || k AS title FROM o WHERE k % 3 <> 0""")
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders) SELECT k, CAST(CASE WHEN k % 3 <> 0 THEN day END AS DATE) AS day, '/doc/' || k AS link, 'Offer ' || k AS title FROM o WHERE k % 3 <> 0""")
 def listing_rows(spark, d):
-    return _listing(table(spark, d, "orders").where("o_orderkey % 20 = 0"))
-
-
-@query(whole("listing_rows", "o_orderkey % 20 = 0"))
-def all_listing_rows(spark, d):
     return _listing(table(spark, d, "orders"))
 
 

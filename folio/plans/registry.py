@@ -25,15 +25,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def whole(name: str, *filters: str) -> str:
-    """The SQL of a registered query without these WHERE clauses: the same question over whole tables."""
-    sql = SQL[name]
-    for f in filters:
-        if f" WHERE {f}" not in sql:
-            raise ValueError(f"the SQL of {name} has no filter {f}")
-        sql = sql.replace(f" WHERE {f}", "")
-    return sql
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -12,11 +12,11 @@ def keys(spark, data, name, column):
 @pytest.mark.parametrize(
     ("name", "table", "column", "key", "told"),
     [
-        ("all_table_grids", "lineitem", "l_orderkey", "l_orderkey", lambda k: True),
-        ("all_contents_entries", "orders", "o_orderkey", "o_orderkey", lambda k: True),
-        ("all_numbered_risks", "orders", "o_orderkey", "k", lambda k: True),
-        ("all_listing_rows", "orders", "o_orderkey", "k", lambda k: k % 3 != 0),  # the others have no date
-        ("all_positive_passages", "orders", "o_orderkey", "k", lambda k: True),
+        ("table_grids", "lineitem", "l_orderkey", "l_orderkey", lambda k: True),
+        ("contents_entries", "orders", "o_orderkey", "o_orderkey", lambda k: True),
+        ("numbered_risks", "orders", "o_orderkey", "k", lambda k: True),
+        ("listing_rows", "orders", "o_orderkey", "k", lambda k: k % 3 != 0),  # the others have no date
+        ("positive_passages", "orders", "o_orderkey", "k", lambda k: True),
     ],
 )
 def test_every_key_of_the_table_has_rows(spark, data, name, table, column, key, told):
@@ -25,13 +25,13 @@ def test_every_key_of_the_table_has_rows(spark, data, name, table, column, key,
 
 
 def test_seeds_of_every_order_get_negatives(spark, data):
-    positive = QUERIES["all_positive_passages"](spark, data).groupBy("k").count().collect()
-    negative = {r[0]: r[1] for r in QUERIES["all_negative_passages"](spark, data).groupBy("k").count().collect()}
+    positive = QUERIES["positive_passages"](spark, data).groupBy("k").count().collect()
+    negative = {r[0]: r[1] for r in QUERIES["negative_passages"](spark, data).groupBy("k").count().collect()}
     assert {r[0]: r[1] for r in positive}.keys() == negative.keys() == keys(spark, data, "orders", "o_orderkey")
     assert all(negative[r[0]] <= r[1] for r in positive)
 
 
-@pytest.mark.parametrize("name", ["all_bm25_top_passages", "all_fused_search_with_cues", "all_answered_or_abstained"])
+@pytest.mark.parametrize("name", ["bm25_top_passages", "fused_search_with_cues", "answered_or_abstained"])
 def test_every_benchmark_item_is_asked(spark, data, name):
     found = {r[0] for r in QUERIES[name](spark, data).select("item_id").distinct().collect()}
     assert found == keys(spark, data, "benchmark", "item_id")
