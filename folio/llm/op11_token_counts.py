@@ -37,7 +37,7 @@ SPACE_MARK = "▁"
 HEAD = 1 << 17
 LONG = 64
 LIMIT = 4096
-BLOCK_CHUNKS = 100_000
+BLOCK_CHUNKS, KNOWN_CHUNKS = 200_000, 500_000
 _CHUNK = re.compile(r" *[^ ]+| +")
 
 
@@ -131,16 +131,21 @@ def count(docs: DataFrame, model: str, scratch: Scratch, text: str = "text", kee
     schema = T.StructType([*source.schema.fields[:3], T.StructField("n_frequent", T.LongType()), T.StructField("rest", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])))])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, pattern, seen = shared.value, regex.compile(PRETOKEN), {}
-
-        def resolved(chunk: str) -> tuple[int, list[str]]:
-            keys = [key(t) for t in pattern.findall(chunk)]
-            found = sum(pieces.get(k, 0) for k in keys), [k for k in keys if k not in pieces]
-            if len(seen) >= BLOCK_CHUNKS:
+        pieces, pattern, seen = shared.value, regex.compile(PRETOKEN), {}  # chunks met before
+
+        def resolved(chunk: str) -> tuple[int, tuple[str, ...]]:
+            total, others = 0, ()
+            for t in pattern.findall(chunk):
+                n = pieces.get(k := t if len(t) <= LONG else key(t))
+                if n is None:
+                    others = (*others, k)
+                else:
+                    total += n
+            if len(seen) >= KNOWN_CHUNKS:
                 seen.clear()
             if len(chunk) <= LONG:
-                seen[chunk] = found
-            return found
+                seen[chunk] = total, others
+            return total, others
 
         for batch, texts in W.chunks(batches, "text"):
             sums, keys, numbers, ends = [], [], [], [0]
