@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..sources import tables as T
-from ..streaming import events as E
+from ..streaming import drain as W, events as E
 from .registry import query, table
 
 
@@ -120,3 +120,20 @@ def streamed_sequence(spark, d):
     folder = T.run_folder(spark, "sequence")
     numbered.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(numbered.schema).parquet(f"{folder}/rows")
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 2, 2) AS doubled, CASE WHEN o_orderkey % 7 = 3 THEN 1 ELSE 0 END AS attempt FROM orders WHERE o_orderkey % 7 <> 5")
+def drained_orders(spark, d):
+    """Orders as a queue of jobs: a seventh fails once and is done by the second try, a seventh fails to the end."""
+    schema = table(spark, d, "orders").schema
+    queue = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d).select("o_orderkey", "o_totalprice", "o_orderstatus")
+    tries = []
+
+    def work(jobs):
+        tries.append(1)
+        k = F.col("o_orderkey") % 7
+        return jobs.select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("doubled"), F.when((k == 5) | ((k == 3) & F.lit(len(tries) == 1)), "busy").alias("error"))
+
+    folder = T.run_folder(spark, "drain")
+    W.drain(queue, work, "o_orderkey", folder, attempts=2).awaitTermination()
+    return W.drained(spark, folder).select("o_orderkey", "doubled", "attempt")
