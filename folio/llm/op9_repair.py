@@ -10,15 +10,14 @@ them safe against lost or repeated tasks, on any store that Spark writes.
 
 Null and empty texts have the end id alone. Rows that repeat a doc_id stand side by side, in the order
 of their texts' hashes; null doc_ids come first. Texts are encoded by the tokenizers library: each
-distinct space-delimited chunk once per worker and bounded table, which gives the same ids as whole
-texts because the vocabulary's pattern always cuts before a single space between other characters.
-Texts where white space meets white space take the whole-text path.
+distinct piece (a word with the space before it, marks, a line end) once per worker and bounded tables,
+which gives the same ids as whole texts because the vocabulary's pattern always cuts between pieces.
+Texts where white space meets white space, or with added tokens, take the whole-text path.
 """
 
 from __future__ import annotations
 
 import gc
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,16 +34,15 @@ END_ID = 0
 SHARD_IDS = 1_000_000
 PER_ROUND = 5000
 MIN_COUNT = 16
-CACHE_ENTRIES, HEADS = 700_000, 50_000
+CACHE_ENTRIES = 700_000
+GATHERED = 1 << 20  # pieces whose ids are put together at a time
 MAGIC = b"RPR1"
 _HEAD = struct.Struct("<4sIIII")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)").fullmatch
 SHARD_SCHEMA = "part int, local_start long, n_docs int, n_ids long, shard binary"
 
 
 class ChunkEncoder:
-    """Ids of texts by the tokenizers library, chunk by chunk."""
+    """Ids of texts by the tokenizers library, piece by piece."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,69 +53,104 @@ class ChunkEncoder:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         space = self.library.encode(" ", add_special_tokens=False).tokens[0]
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith(space) for i in range(self.size)])
-        self.inner: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks, each after a space, in one call; tokens that start with the space cut them apart."""
-        found = np.array(self.library.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
-        starts = (np.flatnonzero(self.opens[found]) * 4).tolist()
-        ids = found.tobytes()
-        if len(starts) == len(chunks):
-            self.inner.update(zip(chunks, [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)], strict=True))
-        else:
-            self.inner.update((c, self.whole(f" {c}")) for c in chunks)
-
-    def meet(self, chunks: set[str]) -> None:
-        """Learn new chunks. A word of letters with marks after it is the word and the marks: the vocabulary's pattern
-        always cuts between letters and marks."""
-        if len(self.inner) + len(chunks) > CACHE_ENTRIES:
-            self.inner.clear()
-        new, marked = [], []
-        for c in chunks:
-            if m := _MARKED(c):
-                marked.append((c, *m.groups()))
-            elif _LETTERS(c) or self._alone(c):
-                new.append(c)
-        new += {core for _, core, _ in marked}.difference(self.inner, new)
-        for i in range(0, len(new), 20_000):
-            self.learn(new[i : i + 20_000])
-        for c, core, marks in marked:
-            self.inner[c] = self.inner[core] + (self.heads.get(marks) or self._head(marks))
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _head(self, chunk: str) -> bytes:
-        if len(self.heads) >= HEADS:
-            self.heads.clear()
-        found = self.heads[chunk] = self.whole(chunk)
-        return found
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces that begin with their only space, in one call; tokens that start with a space cut them apart."""
+        found = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        self._cut(pieces, found.tobytes(), (np.flatnonzero(self.opens[found]) * 4).tolist(), 0)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.split(" ") if t else [""] for t in texts]
-        known = self.inner.get
-        found = [list(map(known, parts[1:])) for parts in cut]
-        new = {c for parts, ids in zip(cut, found, strict=True) if None in ids for c, x in zip(parts[1:], ids, strict=True) if x is None}
-        if new:
-            self.meet(new)
-        known, out = self.inner.get, []
-        for text, parts, ids in zip(texts, cut, found, strict=True):
-            if not text:
-                out.append(b"")
+    def learn_solid(self, pieces: list[str]) -> None:
+        """Encode pieces without white space in one call, each on a line of its own; line ends cut them apart."""
+        found = np.array(self.library.encode_batch_fast(["".join(f"\n{p}" for p in pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        self._cut(pieces, found.tobytes(), (np.flatnonzero(found == self.line[0]) * 4).tolist() if len(self.line) == 1 else [], 4)
+
+    def _cut(self, pieces: list[str], ids: bytes, starts: list[int], skipped: int) -> None:
+        if len(starts) == len(pieces):
+            self.known.update(zip(pieces, [ids[a + skipped : b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)], strict=True))
+        else:
+            self.known.update((p, self.whole(p)) for p in pieces)
+
+    def look_up(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces; None for those whose ids may depend on the text around them. When the table is full, pieces
+        that are met again move to the next one, and the others go."""
+        if len(self.known) >= CACHE_ENTRIES:
+            self.older, self.known = self.known, {}
+        found = list(map(self.known.get, pieces))
+        spaced, solid = [], []
+        missing = [p for p, x in zip(pieces, found, strict=True) if x is None]
+        for p, ids in zip(missing, map(self.older.get, missing), strict=True):
+            if ids is not None:
+                self.known[p] = ids
                 continue
-            if None in ids:
-                ids = [known(c) if x is None else x for c, x in zip(parts[1:], ids, strict=True)]
-            if None in ids or not parts[0] or parts[0][-1].isspace() or "<|" in parts[0]:
-                out.append(self.whole(text))
-            else:
-                out.append(b"".join([self.heads.get(parts[0]) or self._head(parts[0]), *ids]))
-        return out
+            core = p[1:] if p[0] == " " else p
+            if core.isalpha() or len(core.split()) == 1 and not core[0].isspace() and not core[-1].isspace():
+                (solid if core is p else spaced).append(p)
+            elif core and not core[0].isspace() and not core[-1].isspace() or p == "\n":
+                self.known[p] = self.whole(p)
+        for learn, new in ((self.learn, spaced), (self.learn_solid, solid)):
+            for i in range(0, len(new), 20_000):
+                learn(new[i : i + 20_000])
+        return [self.known.get(p) if x is None else x for p, x in zip(pieces, found, strict=True)]
 
-    @staticmethod
-    def _alone(chunk: str) -> bool:
-        """Whether the chunk's ids after a space are the same in any text that cuts it off by single spaces."""
-        return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace() and "<|" not in chunk
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each distinct piece of the texts is looked up once; ids are gathered by the pieces' places."""
+        if not texts:
+            return []
+        raw = [(t or "").encode() for t in texts]
+        starts = np.cumsum([0, *(len(x) + 1 for x in raw)])
+        joined = b"\t".join([*raw, b""])  # every text is followed by a tab, a piece of its own that has no ids
+        places = cuts(np.frombuffer(joined, dtype=np.uint8), starts)
+        offsets = np.append(places, len(joined)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(places), pa.py_buffer(offsets), pa.py_buffer(joined)).dictionary_encode()
+        distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        edges = np.searchsorted(places, starts)
+        at[edges[1:] - 1] = len(distinct)
+        ids = [*self.look_up(distinct), b""]
+        open_ = np.fromiter((x is None for x in ids), dtype=bool, count=len(ids))
+        unsure = np.logical_or.reduceat(open_[at], edges[:-1])
+        ids = [x or b"" for x in ids]
+        table, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        before, parts = np.cumsum(sizes) - sizes, []
+        for a in range(0, len(at), GATHERED):
+            part = at[a : a + GATHERED]
+            ends = np.cumsum(sizes[part])
+            parts.append(table[np.repeat(before[part] - (ends - sizes[part]), sizes[part]) + np.arange(ends[-1])].tobytes())
+        flat, byte_edges = b"".join(parts), (np.concatenate([[0], np.cumsum(sizes[at])])[edges] * 4).tolist()
+        for i, t in enumerate(texts):  # an added token is told before words and marks are
+            unsure[i] |= bool(t) and any(x in t for x in self.added)
+        return [self.whole(t or "") if u else flat[a:b] for t, u, a, b in zip(texts, unsure.tolist(), byte_edges, byte_edges[1:], strict=False)]
+
+
+_KIND = np.zeros(256, dtype=np.uint8)  # 1 letters, 2 marks, 3 digits
+_KIND[33:127] = 2
+_KIND[[*range(48, 58)]], _KIND[[*range(65, 91), *range(97, 123)]] = 3, 1
+_LATIN = np.zeros(256, dtype=bool)  # leading bytes of U+00C0 to U+024F, all letters but two
+_LATIN[0xC3:0xCA] = True
+
+
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin, the texts' starts and last bytes among them: before a space, between a letter and a
+    mark after it, and about a line end between other characters. The vocabulary's pattern cuts there whatever comes
+    before, and nothing after such a place changes what it cuts before it, if spaces are single."""
+    kind = _KIND[data]
+    letter = kind == 1
+    pair = _LATIN[data[:-1]] & ((data[1:] & 0xC0) == 0x80)
+    pair &= (data[:-1] != 0xC3) | ((data[1:] != 0x97) & (data[1:] != 0xB7))
+    letter[1:] |= pair
+    cut = data == 32
+    cut[1:] |= letter[:-1] & (kind[1:] == 2)
+    lines = np.flatnonzero(data[1:-1] == 10) + 1
+    lines = lines[(letter[lines - 1] | (kind[lines - 1] > 0)) & ((kind[lines + 1] > 0) | _LATIN[data[lines + 1]])]
+    cut[lines] = cut[lines + 1] = True
+    cut[starts[:-1]] = cut[starts[1:] - 1] = True
+    return np.flatnonzero(cut)
 
 
 def load(path: str) -> ChunkEncoder:
@@ -130,16 +163,17 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None
     starts: the documents' places among the ids, with the end. Goes on until no pair of adjacent symbols
     stands in MIN_COUNT places, or for so many rounds. Pairs are keyed in 32 bits while symbols fit in 16.
     """
-    symbols, rules, top, done = ids.astype(np.uint32), [], base, 0
+    symbols, rules, top, done, fresh = ids.astype(np.uint32), [], base, 0, 0
     while len(symbols) > 1 and (rounds is None or done < rounds):
         done += 1
         width = 16 if top <= 65_536 else 32
         wide = symbols if width == 16 else symbols.astype(np.uint64)
-        keys = (wide[:-1] << wide.dtype.type(width)) | wide[1:]
         inside = np.ones(len(symbols), dtype=bool)
         inside[starts[1:-1] - 1] = False
         inside = inside[:-1]
-        ordered = np.sort(keys[inside])
+        new = symbols >= fresh
+        looked = np.flatnonzero(inside & (new[:-1] | new[1:]))
+        ordered = np.sort((wide[looked] << wide.dtype.type(width)) | wide[looked + 1])
         if len(ordered) < MIN_COUNT:
             break
         # a pair in MIN_COUNT places spans so many equal keys in a row, so only such heads are looked at
@@ -147,6 +181,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None
         if not len(often):
             break
         often = often[np.concatenate([[True], ordered[often[1:]] != ordered[often[:-1]]])]
+        # where all of them are replaced, no other pair gains places, so the next round's have a new symbol
+        fresh = top if len(often) <= PER_ROUND else 0
         if len(often) > PER_ROUND:
             counts = np.searchsorted(ordered, ordered[often], side="right") - often
             often = np.sort(often[np.argpartition(-counts, PER_ROUND - 1)[:PER_ROUND]])

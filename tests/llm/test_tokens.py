@@ -44,6 +44,17 @@ def test_digests(spark):
     assert B.encode(frame(spark, []), PATH).count() == 0
 
 
+def test_words_marks_and_line_ends_are_encoded_once(monkeypatch):
+    encoder, marks = R.ChunkEncoder(PATH), [",", ".", "!?", ""]
+    texts = [f"Straße{a} größe{b} wörd{a}\nStraße{b}\nwörd" for a in marks for b in marks] + ["a\n b", "\na", "a\n", " a", "5\n\nx", None, "a\u00a0 b", "x<|endoftext|>,", "don't\n's"]
+    want = [np.array(ids(t), dtype="<u4").tobytes() for t in texts]
+    assert encoder.encode(texts[:16]) == want[:16]
+    assert set(encoder.known) == {"Straße", " größe", " wörd", "wörd", "\n", *marks[:3]}  # not one for each word with its marks
+    monkeypatch.setattr(R, "CACHE_ENTRIES", 2)
+    assert all(encoder.encode(texts) == want for _ in range(3))
+    assert encoder.encode([]) == []
+
+
 def test_shards_read_back_in_order(spark, monkeypatch):
     monkeypatch.setattr(R, "SHARD_IDS", 3000)
     rows, *_ = corpus()
