@@ -103,12 +103,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
 
 
-def _line_unit(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(line, 1) - (1 << 63)
+def _line_unit(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes(), 1) - (1 << 63)
 
 
-def _lines(text: bytes) -> Iterator[list[bytes]]:
-    return (line.split() for line in text.lower().split(b"\n"))
+def _long_lines(joined: bytes, places: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the lines of PARAGRAPH words or more in W.joined_hashes: their texts' numbers, first words, numbers of words, and
+    the bytes at which they begin and end."""
+    ends = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 10)
+    after = np.searchsorted(places, ends)
+    first = np.concatenate([[0], after[:-1]])
+    at = np.flatnonzero(after - first >= PARAGRAPH)
+    return np.searchsorted(edges, first[at], side="right") - 1, first[at], (after - first)[at], np.where(at > 0, ends[at - 1] + 1, 0), ends[at]
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
@@ -125,36 +131,22 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in W.chunks(batches, "text"):
-            owner, starts, seeds = [], [], []
-            line_owner, units, line_starts, sizes, gram_starts, grams, total = [], [], [], [], [], [], 0
-            for i, text in enumerate(texts):
-                n_words = 0
-                for own in _lines(text) if text else ():
-                    if len(own) >= PARAGRAPH:
-                        line_owner.append(i)
-                        units.append(_line_unit(b" ".join(own)))
-                        line_starts.append(n_words)
-                        gram_starts.append(total + n_words)
-                        sizes.append(len(own))
-                    n_words += len(own)
-                if n_words < PARAGRAPH:
-                    continue
-                hashes = W.text_hashes(text.lower())
-                long_grams = W.windows(hashes, SEED)
-                at = anchors(long_grams)
-                owner.append(i)
+            joined, hashes, places, edges = W.joined_hashes(texts)
+            long_grams, starts, seeds = W.windows(hashes, SEED), [], []
+            owner = np.flatnonzero(np.diff(edges) >= PARAGRAPH).tolist()
+            for i in owner:
+                grams = long_grams[edges[i] : edges[i + 1] - SEED + 1]
+                at = anchors(grams)
                 starts.append(at.astype(np.int32))
-                seeds.append(long_grams[at].view(np.int64))
-                if line_owner and line_owner[-1] == i:
-                    grams.append(W.windows(hashes, SHINGLE))
-                    total += len(grams[-1])
+                seeds.append(grams[at].view(np.int64))
             if owner:
                 yield made(batch, owner, {"starts": starts, "seeds": seeds})
-            if line_owner:
-                begin, n = np.array(gram_starts, dtype=np.int64), np.array(sizes, dtype=np.int64)
-                mins = signatures(np.concatenate(grams), begin, begin + n - (SHINGLE - 1))
+            line_owner, begin, n, *_ = _long_lines(joined, places, edges)
+            if len(begin):
+                mins = signatures(W.windows(hashes, SHINGLE), begin, begin + n - (SHINGLE - 1))
+                units = [_line_unit(hashes[a:b]) for a, b in zip(begin.tolist(), (begin + n).tolist(), strict=True)]
                 low = mins.astype(np.uint16)
-                yield made(batch, line_owner, {"unit": units, "start": line_starts, "n_words": sizes, "n_shingles": n - (SHINGLE - 1), "registers": [r.tobytes() for r in low], "bands": band_keys(mins).tolist()})
+                yield made(batch, line_owner.tolist(), {"unit": units, "start": begin - edges[line_owner], "n_words": n, "n_shingles": n - (SHINGLE - 1), "registers": [r.tobytes() for r in low], "bands": band_keys(mins).tolist()})
 
     return _keyed(docs).mapInArrow(run, schema)
 
@@ -196,13 +188,13 @@ def line_spans(docs: DataFrame, lines: DataFrame, scratch: Scratch, linking: Scr
 def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in W.chunks(batches, "text"):
         nodes, lines = [], []
-        for asked, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            open_ = set(asked)
-            for own in _lines(text):
-                if len(own) >= PARAGRAPH and (unit := _line_unit(line := b" ".join(own))) in open_:
-                    open_.remove(unit)
-                    nodes.append(unit)
-                    lines.append(line)
+        joined, hashes, places, edges = W.joined_hashes(texts)
+        open_ = [set(x) for x in batch.column(0).to_pylist()]
+        for i, first, n, begin, end in zip(*(x.tolist() for x in _long_lines(joined, places, edges)), strict=True):
+            if (unit := _line_unit(hashes[first : first + n])) in open_[i]:
+                open_[i].remove(unit)
+                nodes.append(unit)
+                lines.append(b" ".join(joined[begin:end].split()))
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary())], names=["node", "text"])
 
 
@@ -355,9 +347,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (asked, text) to the hashes of the REACH words before each place asked for, or after it (right ends)."""
     for batch, texts in W.chunks(batches, "text"):
         groups, counts, words = [], [], []
-        for asked, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            hashes = W.text_hashes(text.lower())
-            grams = W.windows(hashes, SEED).view(np.int64)
+        _, every, _, edges = W.joined_hashes(texts)
+        every_gram, edges = W.windows(every, SEED).view(np.int64), edges.tolist()
+        for asked, first, end in zip(batch.column(0).to_pylist(), edges, edges[1:], strict=False):
+            hashes, grams = every[first:end], every_gram[first : max(first, end - SEED + 1)]
             for x in asked:
                 at = x["at"]
                 left = at < len(grams) and int(grams[at]) == x["group"]
@@ -377,8 +370,10 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     after_type = pa.list_(pa.struct([("start", pa.int32()), ("group", pa.int64()), ("open", pa.bool_())]))
     for batch, texts in W.chunks(batches, "text"):
         spans, after = [], []
-        for starts, runs, near, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), texts, strict=True):
-            hashes = W.text_hashes(text.lower())
+        _, every, _, edges = W.joined_hashes(texts)
+        every_gram, edges = W.windows(every, SEED), edges.tolist()
+        for starts, runs, near, first, end in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), edges, edges[1:], strict=False):
+            hashes, grams = every[first:end], every_gram[first : max(first, end - SEED + 1)]
             beside = {x["group"]: np.frombuffer(x["words"], dtype=np.uint64) for x in near}
             found: dict[tuple[int, int], int] = {}
             for r in sorted(runs, key=lambda r: r["start"] - r["stop"]):
@@ -389,14 +384,14 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found[span] = min(r["kept_in"], found.get(span, r["kept_in"]))
             spans.append([{"start": a, "n_words": b - a, "kept_in": k} for (a, b), k in sorted(found.items())])
             cover = merged([(a, b - a) for a, b in found])
-            begins, units = [a for a, _ in cover], after_units(hashes, np.array(starts, dtype=np.int64))
+            begins, units = [a for a, _ in cover], after_units(hashes, grams, np.array(starts, dtype=np.int64))
             after.append([{"start": s, "group": u, "open": not ((k := bisect_right(begins, s) - 1) >= 0 and s + SEED <= cover[k][1])} for s, u in zip(starts, units, strict=False)])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(after, after_type)], names=[*DOC, "spans", "after"])
 
 
-def after_units(hashes: np.ndarray, starts: np.ndarray) -> list[int]:
-    """Hashes of the PARAGRAPH words from each of the ascending starts, as far as so many words follow."""
-    grams = W.windows(hashes, SEED)
+def after_units(hashes: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> list[int]:
+    """Hashes of the PARAGRAPH words from each of the ascending starts, as far as so many words follow; grams are the
+    hashes of SEED words."""
     at = starts[starts + PARAGRAPH <= len(hashes)]
     acc = grams[at]
     for step in (*range(SEED, PARAGRAPH - SEED, SEED), PARAGRAPH - SEED):

@@ -59,7 +59,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _INVERSE = 0x9FB21C651E98DF25, pow(0x9FB21C651E98DF25, -1, 1 << 64)
 _POWERS: list[np.ndarray] = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
-SEGMENT = 1 << 20
+SEGMENT = 1 << 16
 
 
 def _powers(n: int) -> list[np.ndarray]:
@@ -74,7 +74,12 @@ def _powers(n: int) -> list[np.ndarray]:
 def text_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word of a text (lower-cased by the caller), all at once: a polynomial in its bytes,
     mixed with its length. They aren't those of hash_words."""
-    out, at = [], 0
+    return placed_hashes(text)[0]
+
+
+def placed_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """text_hashes, and the byte at which each word begins."""
+    out, places, at = [], [], 0
     while at < len(text):
         stop = at + SEGMENT
         if stop < len(text):  # segments end between words
@@ -84,7 +89,6 @@ def text_hashes(text: bytes) -> np.ndarray:
                 stop += 1
             stop = cut if cut >= 0 else len(text)
         data = np.frombuffer(text, dtype=np.uint8, count=min(stop, len(text)) - at, offset=at)
-        at += max(1, len(data))
         edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
         starts, ends = edges[::2], edges[1::2]
         if len(starts):
@@ -92,7 +96,17 @@ def text_hashes(text: bytes) -> np.ndarray:
             sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum((data + U64(1)) * up[: len(data)])])
             found = (sums[ends] - sums[starts]) * down[starts]
             out.append(mix(found ^ mix((ends - starts).astype(U64))))
-    return np.concatenate(out) if out else np.empty(0, dtype=U64)
+            places.append(starts + at)
+        at += max(1, len(data))
+    return (np.concatenate(out), np.concatenate(places)) if out else (np.empty(0, dtype=U64), np.empty(0, dtype=np.int64))
+
+
+def joined_hashes(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased texts, each followed by a line end; the hashes and places of their words; and where each text's
+    words begin among them, with the end."""
+    joined = b"\n".join([*(t or b"" for t in texts), b""]).lower()
+    hashes, places = placed_hashes(joined)
+    return joined, hashes, places, np.searchsorted(places, np.cumsum([0, *(len(t or b"") + 1 for t in texts)]))
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 import random
 
-from folio.llm import op2_substring as S
+from folio.llm import op2_substring as S, words as W
 
 from .fixtures import frame, sentence
 
@@ -32,3 +32,19 @@ def test_near_copies_in_mid_line_are_found(spark):
 
 def test_less_alike_passages_stay(spark):
     assert S.repeated_spans(frame(spark, planted(55, 3))).count() == 0  # Jaccard 0.55, no run of 28 words
+
+
+def test_a_slice_of_texts_is_hashed_at_once():
+    texts = [b"", b"one", None, b"A b\nc", b" \n ", b"\n", b"x\x0by z\n"]
+    joined, hashes, places, edges = W.joined_hashes(texts)
+    for i, t in enumerate(texts):
+        assert hashes[edges[i] : edges[i + 1]].tolist() == W.text_hashes((t or b"").lower()).tolist()
+    assert [joined[p : p + 1] for p in places.tolist()] == [b"o", b"a", b"b", b"c", b"x", b"y", b"z"]
+    words = [b" ".join(b"w%d" % (i * 100 + j) for j in range(n)) for i, n in enumerate((27, 28, 40))]
+    texts = [b"\n".join([words[1].upper(), words[0], words[2]]), b"", words[0], b"\n" + words[1].replace(b" ", b"\t ")]
+    joined, hashes, places, edges = W.joined_hashes(texts)
+    found = [[x.tolist() for x in S._long_lines(joined, places, edges)][k] for k in range(5)]
+    assert found[0] == [0, 0, 3] and found[2] == [28, 40, 28] and [f - int(edges[i]) for i, f in zip(found[0], found[1], strict=True)] == [0, 55, 0]
+    assert [joined[a:b].split() for a, b in zip(*found[3:], strict=True)] == [words[1].split(), words[2].split(), words[1].split()]
+    units = [S._line_unit(hashes[f : f + n]) for f, n in zip(*found[1:3], strict=True)]
+    assert units[0] == units[2] != units[1]
