@@ -54,9 +54,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = op4_bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer).drop("text")
-    decoded = op4_bpe.decode(encoded, tokenizer)
-    return decoded.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+    return op4_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer).drop("text")
 
 
 STAGES = [

@@ -196,24 +196,38 @@ def _add(batch: pa.RecordBatch, drop: str, columns: list[tuple[str, pa.Array]])
     return pa.RecordBatch.from_arrays([c for _, c in [*kept, *columns]], names=[n for n, _ in [*kept, *columns]])
 
 
+ENCODED = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())]
+
+
+def _encoded(bpe: RankBpe, texts: list[str | None]) -> tuple[list[bytes], list[tuple[str, pa.Array]]]:
+    """The ids of texts, and the columns of ENCODED."""
+    found = [bpe.encode(t) if t else b"" for t in texts]
+    sizes = [len(f) // 4 for f in found]
+    decimals = bpe.decimals.join(np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum([0, *sizes]))
+    digests = [hashlib.sha256(d[:-1]).hexdigest() for d in decimals]
+    return found, [("ids", pa.array(found, pa.binary())), ("n_tokens", pa.array(sizes, pa.int64())), ("ids_sha256", pa.array(digests, pa.string()))]
+
+
+def _decoded(bpe: RankBpe, rows: list[bytes | None]) -> list[str]:
+    flat = np.frombuffer(b"".join([r for r in rows if r]), dtype="<u4")
+    return [d.decode("utf-8", "replace") for d in bpe.texts.join(flat, np.cumsum([0, *(len(r) // 4 if r else 0 for r in rows)]))]
+
+
+def _end(tokenizer: str) -> None:
+    """What a task leaves in its worker, which outlives it: the vocabulary alone."""
+    load(tokenizer).forget()
+    W.trim()
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (binary: little-endian unsigned 32-bit integers), ``n_tokens`` and ``ids_sha256``
     (of the decimal ids joined by commas) to the rows of df; the text column stays."""
-    fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())]
-    kept, schema = _replaced(df, fields)
+    kept, schema = _replaced(df, ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
         for batch, texts in W.chunks(batches, "__text", keep="bpe"):
-            found = [bpe.encode(t) if t else b"" for t in texts]
-            sizes = [len(f) // 4 for f in found]
-            decimals = bpe.decimals.join(np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum([0, *sizes]))
-            yield _add(batch, "__text", [
-                ("ids", pa.array(found, pa.binary())),
-                ("n_tokens", pa.array(sizes, pa.int64())),
-                ("ids_sha256", pa.array([hashlib.sha256(d[:-1]).hexdigest() for d in decimals], pa.string())),
-            ])
-        load(tokenizer).forget()
+            yield _add(batch, "__text", _encoded(load(tokenizer), texts)[1])
+        _end(tokenizer)
 
     return kept.withColumn("__text", F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
@@ -223,16 +237,28 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     kept, schema = _replaced(df, [T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
         for batch, rows in W.chunks(batches, "__ids", keep="bpe"):
-            sizes = [len(r) // 4 if r else 0 for r in rows]
-            flat = np.frombuffer(b"".join([r for r in rows if r]), dtype="<u4")
-            out = [d.decode("utf-8", "replace") for d in bpe.texts.join(flat, np.cumsum([0, *sizes]))]
-            yield _add(batch, "__ids", [("decoded", pa.array(out, pa.string()))])
+            yield _add(batch, "__ids", [("decoded", pa.array(_decoded(load(tokenizer), rows), pa.string()))])
+        _end(tokenizer)
 
     return kept.withColumn("__ids", F.col(f"`{ids}`")).mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """What encode adds, and ``decoded_sha256``, the digest of the decoding of the ids in UTF-8, in one pass: encode
+    and decode one after the other take two Python workers a task, each with a vocabulary of its own."""
+    kept, schema = _replaced(df, [*ENCODED, T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in W.chunks(batches, "__text", keep="bpe"):
+            ids, columns = _encoded(load(tokenizer), texts)
+            digests = [hashlib.sha256(d.encode()).hexdigest() for d in _decoded(load(tokenizer), ids)]
+            yield _add(batch, "__text", [*columns, ("decoded_sha256", pa.array(digests, pa.string()))])
+        _end(tokenizer)
+
+    return kept.withColumn("__text", F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+
+
 def query(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """op4: per document the number of ids and the digests of its ids and of their decoding."""
     if tokenizer is None:

@@ -167,8 +167,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
     """Slices of the batches whose texts hold about ``limit`` bytes (one longer text makes a slice of its
     own); only a slice's texts are made into Python objects at a time.
 
-    Workers outlive their tasks, and idle ones stay: at a task's end its tables go, but for those that the
-    operator ``keep`` keeps for its next task; those of other operators go at its beginning.
+    Workers outlive their tasks, and idle ones stay: at a task's end its tables go, and freed memory goes back to
+    the system, but for those that the operator ``keep`` keeps for its next task; those of other operators go at its beginning.
     """
     for name in [k for k in _KEPT if k != keep]:
         del _KEPT[name]
@@ -178,12 +178,13 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             yield batch.slice(start, stop - start), column.slice(start, stop - start).to_pylist()
     if not keep:
         _HASHES.clear()
-        pa.default_memory_pool().release_unused()
+        trim()
 
 
 def trim() -> None:
-    """Give freed memory back to the system after training, where the C library can."""
+    """Give freed memory back to the system after training and at a task's end, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -1,9 +1,10 @@
 import random
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from folio.llm import op3_minhash
+from folio.llm import op3_minhash, op4_bpe
 
 from .fixtures import corpus, lowered, words
 from .test_near_and_substring import brute
@@ -53,3 +54,15 @@ def test_an_empty_corpus_passes_through(spark, tmp_path):
     for name, stage in P.STAGES:
         empty = stage(spark, empty, str(tmp_path)) if name == "language" else empty
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_a_task_encodes_and_decodes_in_one_worker(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    texts = ["a b", None, "", "<|endoftext|> x", "não é \U0001f600\n\n  end "]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    found = P.encode(spark, docs, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert found.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    two = op4_bpe.decode(op4_bpe.encode(docs, path).drop("text"), path).withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+    assert sorted(found.collect()) == sorted(two.collect())
