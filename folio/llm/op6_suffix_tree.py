@@ -12,9 +12,10 @@ the shorter one's by more than it costs: the sum of count * log ratio, over half
 word it holds. A word's probability is that of the longest retained context.
 
 Tables. Documents are cut into blocks of bounded token counts. A task sends the distinct runs of its blocks, not
-their tokens, as sorted arrays dealt out by the high bits of their hashes, to be counted; at the end it asks for the values
-of its own runs in the same way. Levels, tests and probabilities are tables of frequent runs, joined by
-shuffling. Which runs may be frequent is told to blocks by bit maps of fixed size, which let none be missed.
+their tokens, dealt out by the high bits of their contexts' hashes, to be counted: as places in the ascending words that
+occur in them, each context once, with the steps from run to run. At the end a block asks for the values of those of its
+runs that the tree may hold, dealt out by their hashes. Arrays are compressed before they are shuffled. Levels, tests and probabilities are tables of frequent runs, joined by
+shuffling. Which runs may be frequent, or in the tree, is told to blocks by bit maps of fixed size, which let none be missed.
 Nothing that grows with the corpus reaches the driver or is broadcast. Words and runs go by 64-bit hashes.
 
 Null, empty and word-less texts are the end alone; one very long text is a block of its own. Rows that repeat
@@ -39,26 +40,66 @@ from .bits import held as in_map, packed
 from .store import Scratch
 
 MIN_COUNT, DEPTH, DISCOUNT = 32, 3, 0.75
-BLOCK_TOKENS, PART_TOKENS = 2_000_000, 1 << 22
-PARTS, COMBINED = 512, 4_000_000
+BLOCK_TOKENS, PART_TOKENS = 1_000_000, 1 << 22
+PARTS, COMBINED = 128, 4_000_000
 END, START = b"\n", b"\n\n"  # no word holds them
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-BLOCKS = "block long, doc_ids array<long>, held binary, sizes binary, places binary, words binary, counts binary"
+CODEC = pa.Codec("zstd", compression_level=1)
+BLOCKS = "block long, tokens long, doc_ids array<long>, held binary, sizes binary, places binary, words binary, counts binary"
 
 
 def planes(numbers: np.ndarray, kind: str = "<u4") -> bytes:
-    """Numbers with equal bytes side by side: small ones compress."""
+    """Numbers with equal bytes side by side, compressed, after their size."""
     found = np.ascontiguousarray(numbers.astype(kind))
-    return found.view("u1").reshape(-1, found.itemsize).T.tobytes()
+    data = found.view("u1").reshape(-1, found.itemsize).T.tobytes()
+    return len(data).to_bytes(8, "little") + CODEC.compress(data, asbytes=True)
 
 
 def from_planes(data: bytes, kind: str = "<u4") -> np.ndarray:
+    data = CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
     return np.ascontiguousarray(np.frombuffer(data, dtype="u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
+def ascending(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=np.uint64(0)), "<u8")
+
+
+def from_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64)
+
+
+def some(values: np.ndarray, there: np.ndarray, kind: str) -> bytes:
+    """The values that are there, after marks of them."""
+    marks = planes(np.packbits(there), "u1")
+    return len(values).to_bytes(8, "little") + len(marks).to_bytes(8, "little") + marks + planes(values[there], kind)
+
+
+def from_some(data: bytes, kind: str, default: float) -> np.ndarray:
+    size, marks = (int.from_bytes(data[k : k + 8], "little") for k in (0, 8))
+    out = np.full(size, default, dtype=kind)
+    out[np.unpackbits(from_planes(data[16 : 16 + marks], "u1"), count=size).astype(bool)] = from_planes(data[16 + marks :], kind)
+    return out
+
+
+def run_hash(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of runs, from those of their first words, second words ..."""
+    found = words[0]
+    for more in words[1:]:
+        found = W.mix(found * GOLD + more)
+    return found
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and where in it each distinct one begins."""
+    order = np.argsort(keys)
+    ascending = keys[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), ascending[1:] != ascending[:-1]]))
+
+
 def block_table(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
-    """One row per block: its documents, their sizes, their tokens (each document's after its start) as places
-    in the block's ascending distinct words, and how often each of those occurs in its training documents."""
+    """One row per block: its documents, their sizes, their tokens (each document's after its start), the block's
+    ascending distinct words, and how often each of those occurs in its training documents; tokens are places in
+    the words by falling count, so that most are small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -69,8 +110,10 @@ def block_table(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
             sizes = np.array([len(t) for t in tokens], dtype=np.int64)
             words, places = np.unique(np.concatenate(tokens), return_inverse=True)
             counts = np.bincount(places[np.repeat(~np.array(marks), sizes)], minlength=len(words))
-            row = [[part << 32 | number], [ids], [np.array(marks, dtype="u1").tobytes()], [planes(sizes)], [planes(places)], [words.tobytes()], [planes(counts)]]
-            types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+            rank = np.empty(len(words), dtype=np.int64)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
+            row = [[part << 32 | number], [int(sizes.sum())], [ids], [np.array(marks, dtype="u1").tobytes()], [planes(sizes)], [planes(rank[places])], [ascending(words)], [planes(counts)]]
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch, texts in W.chunks(batches, "text"):
@@ -97,9 +140,9 @@ class Block:
         self.id, self.doc_ids = get("block").as_py(), get("doc_ids").as_py()
         self.marks = np.frombuffer(get("held").as_py(), dtype="u1").astype(bool)
         self.sizes = from_planes(get("sizes").as_py()).astype(np.int64)
-        self.words = np.frombuffer(get("words").as_py(), dtype=np.uint64)
+        self.words = from_ascending(get("words").as_py())
         self.counts = from_planes(get("counts").as_py()).astype(np.int64)
-        self.places = from_planes(get("places").as_py())
+        self.places = np.argsort(-self.counts, kind="stable").astype(np.uint32)[from_planes(get("places").as_py())]
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.maps = maps
 
@@ -159,20 +202,32 @@ def _binaries(batches: list[pa.RecordBatch], column: int) -> list[bytes]:
 def word_table(blocks: DataFrame, parts: int) -> DataFrame:
     """Rows (part, words, counts): all training words with their counts, by part."""
 
+    def summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, place = np.unique(np.concatenate(words), return_inverse=True)
+        return found, np.bincount(place, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
+
+    def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Words of several blocks of a task, each once, by part."""
+        words, counts = summed(*zip(*found, strict=True))
+        cuts = by_part(words, parts).tolist()
+        rows = [(p, ascending(words[a:b]), planes(counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["part", "words", "counts"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                words, counts = np.frombuffer(batch.column(0)[i].as_py(), dtype=np.uint64), from_planes(batch.column(1)[i].as_py())
-                words, counts = words[counts > 0], counts[counts > 0]
-                cuts = by_part(words, parts).tolist()
-                rows = [(p, words[a:b].tobytes(), planes(counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["part", "words", "counts"])
+                words, counts = from_ascending(batch.column(0)[i].as_py()), from_planes(batch.column(1)[i].as_py())
+                found.append((words[counts > 0], counts[counts > 0]))
+                held += len(found[-1][0])
+                if held >= COMBINED:
+                    yield sent(found)
+                    found, held = [], 0
+        if found:
+            yield sent(found)
 
     def fold(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in _binaries(rows, 1)])
-        counts = np.concatenate([from_planes(x) for x in _binaries(rows, 2)])
-        words, place = np.unique(words, return_inverse=True)
-        counts = np.bincount(place, weights=counts, minlength=len(words)).astype(np.int64)
+        words, counts = summed([from_ascending(x) for x in _binaries(rows, 1)], [from_planes(x) for x in _binaries(rows, 2)])
         yield pa.RecordBatch.from_arrays([rows[0].column(0).slice(0, 1), pa.array([words.tobytes()], pa.binary()), pa.array([planes(counts, "<i8")], pa.binary())], names=["part", "words", "counts"])
 
     return _grouped(blocks.select("words", "counts").mapInArrow(send, "part int, words binary, counts binary"), fold, "part int, words binary, counts binary")
@@ -195,54 +250,71 @@ def longer_runs(blocks: DataFrame, maps: list[np.ndarray], parts: int, least: in
     """Rows (run, context, shorter, suffix, n) of the runs one word longer than the maps go that stand in
     at least so many training places: the words before the last, the run and its context without their first words."""
     shared = blocks.sparkSession.sparkContext.broadcast(maps)
-    names = ["part", "contexts", "suffixes", "sizes", "words", "counts"]
+    names = ["part", "words", "contexts", "steps", "counts"]
     schema = "part int, " + ", ".join(f"{n} binary" for n in names[1:])
 
+    def packed_runs(context: np.ndarray, words: list[np.ndarray], counts: np.ndarray) -> tuple[bytes, ...]:
+        """Runs by ascending contexts: their distinct words, the contexts as places in them, the steps between the
+        runs' places in a grid of contexts and last words, and the counts."""
+        known, places = np.unique(np.concatenate(words), return_inverse=True)
+        places = places.reshape(len(words), -1)
+        first = np.concatenate([[True], context[1:] != context[:-1]])
+        spot = (np.cumsum(first) - 1) * len(known) + places[-1]
+        order = np.argsort(spot)
+        return ascending(known), planes(places[:-1, first].reshape(-1)), planes(np.diff(spot[order], prepend=0)), planes(counts[order])
+
+    def unpacked_runs(words: bytes, contexts: bytes, steps: bytes, counts: bytes) -> tuple[np.ndarray, ...]:
+        """Context, suffix, last word and count of each run."""
+        known = from_ascending(words)
+        of = list(known[from_planes(contexts)].reshape(len(maps), -1))
+        number, last = np.divmod(np.cumsum(from_planes(steps), dtype=np.int64), len(known))
+        suffix = run_hash(of[1:])[number] if len(maps) > 1 else np.zeros(len(number), dtype=np.uint64)
+        return run_hash(of)[number], suffix, known[last], from_planes(counts)
+
     def sent(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         """Runs of several blocks of a task, each once, by part of their contexts."""
-        contexts, suffixes, last, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-        _, first, place = np.unique(W.mix(contexts * GOLD + last), return_index=True, return_inverse=True)
-        counts = np.bincount(place, weights=counts, minlength=len(first)).astype(np.int64)
-        order = np.argsort(contexts[first], kind="stable")
-        at, counts = first[order], counts[order]
-        contexts, suffixes, last = contexts[at], suffixes[at], last[at]
-        head = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(at) else np.empty(0, dtype=np.int64)
-        sizes, heads, suffixes = np.diff(head, append=len(at)), contexts[head], suffixes[head]
-        edges = by_part(heads, parts)
-        inner = np.concatenate([head, [len(at)]])
-        rows = [(p, heads[a:b].tobytes(), suffixes[a:b].tobytes(), planes(sizes[a:b]), last[inner[a] : inner[b]].tobytes(), planes(counts[inner[a] : inner[b]])) for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)) if a < b]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=names)
+        *words, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        order, starts = distinct(run_hash(words))
+        counts = np.add.reduceat(counts[order], starts) if len(order) else counts
+        at = order[starts]
+        context = run_hash(words[:-1])[at]
+        order = np.argsort(context)
+        at, context, counts = at[order], context[order], counts[order]
+        words = [w[at] for w in words]
+        edges = by_part(context, parts).tolist()
+        rows = [(p, *packed_runs(context[a:b], [w[a:b] for w in words], counts[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 block = Block(batch, i, shared.value)
-                before: list[np.ndarray] = []
                 for run, _, possible in block.levels(len(block.maps) + 1):
-                    before = [*before[-2:], run]
+                    pass
                 at = np.flatnonzero(possible & ~np.repeat(block.marks, block.sizes))
-                _, first, counts = np.unique(run[at], return_index=True, return_counts=True)
-                at = at[first]
-                suffixes = before[-3][at - 1] if len(shared.value) > 1 else np.zeros(len(at), dtype=np.uint64)
-                found.append((before[-2][at - 1], suffixes, block.words[block.places[at]], counts))
+                order, starts = distinct(run[at])
+                counts, at = np.diff(starts, append=len(order)), at[order[starts]]
+                found.append((*(block.words[block.places[at - j]] for j in range(len(block.maps), -1, -1)), counts))
                 held += len(at)
                 if held >= COMBINED:
                     yield sent(found)
                     found, held = [], 0
         if found:
             yield sent(found)
+        W.trim()
 
     def fold(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.concatenate([from_planes(x) for x in _binaries(rows, 3)])
-        context, suffix = (np.repeat(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in _binaries(rows, k)]), sizes) for k in (1, 2))
-        word = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in _binaries(rows, 4)])
-        run, first, place = np.unique(W.mix(context * GOLD + word), return_index=True, return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate([from_planes(x) for x in _binaries(rows, 5)]), minlength=len(run)).astype(np.int64)
+        found = [unpacked_runs(*row) for b in rows for row in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True)]
+        context, suffix, word, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        run = W.mix(context * GOLD + word)
+        order, starts = distinct(run)
+        n = np.add.reduceat(counts[order].astype(np.int64), starts)
         often = n >= least
-        context, suffix, word = (x[first][often] for x in (context, suffix, word))
+        at, n = order[starts[often]], n[often]
+        run, context, suffix, word = (x[at] for x in (run, context, suffix, word))
         shorter = W.mix(suffix * GOLD + word) if len(maps) > 1 else word
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (run[often], context, shorter, suffix)] + [pa.array(n[often])], names=["run", "context", "shorter", "suffix", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (run, context, shorter, suffix)] + [pa.array(n)], names=["run", "context", "shorter", "suffix", "n"])
 
     return _grouped(blocks.select("block", "doc_ids", "held", "sizes", "places", "words", "counts").mapInArrow(send, schema), fold, "run long, context long, shorter long, suffix long, n long")
 
@@ -263,13 +335,14 @@ def level_table(runs: DataFrame, shorter: DataFrame) -> DataFrame:
 
 def tree_table(blocks: DataFrame, words: DataFrame, total: int, distinct: int, parts: int, scratch: Scratch, min_count: int = MIN_COUNT, depth: int = DEPTH) -> tuple[DataFrame, list[np.ndarray]]:
     """Rows (run, event, rest): the log10 probability of a run's last word after a retained context, and what a
-    retained context leaves to its suffix; and the maps of the frequent runs of each length."""
+    retained context leaves to its suffix; and the maps of the frequent runs of each length, with that of the tree."""
     first = scratch.save(frequent_words(words, min_count).withColumn("p", (F.col("n") + 1) / F.lit(float(total + distinct + 1))), "level-1")
     maps, levels = [packed(first.select(F.col("run").alias("key")))], []
     before = first
     for k in range(2, depth + 2):
         runs = scratch.save(longer_runs(blocks, maps, parts, min_count), f"runs-{k}")
         level = scratch.save(level_table(runs, before.select("run", "n", "p")), f"level-{k}")
+        scratch.drop(f"runs-{k}")
         if not level.head(1):
             break
         levels.append(level)
@@ -288,13 +361,21 @@ def tree_table(blocks: DataFrame, words: DataFrame, total: int, distinct: int, p
     for more in values[1:]:
         found = found.unionByName(more)
     tree = scratch.save(found.groupBy("run").agg(F.max("event").alias("event"), F.max("rest").alias("rest")), "tree")
-    return tree, maps
+    scratch.drop("level-1", *(f"level-{k}" for k in range(2, depth + 2)))
+    return tree, [*maps, packed(tree.select(F.col("run").alias("key")))]
 
 
 def _asked(block: Block) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The distinct hashes a block asks about (all words, longer runs that may be frequent), ascending; and the
-    longer runs' hashes at each token, 0 where none may be frequent."""
-    runs = [np.where(ok, run, np.uint64(0)) for k, (run, ok, _) in enumerate(block.levels(len(block.maps))) if k]
+    """The distinct hashes a block asks about (all words, longer runs that the tree may hold), ascending; and the
+    longer runs' hashes at each token, 0 where the tree holds none. The last map is the tree's."""
+    *block.maps, tree = block.maps
+    runs = []
+    for k, (run, ok, _) in enumerate(block.levels(len(block.maps))):
+        if k:
+            at = np.flatnonzero(ok)
+            at = at[in_map(tree, run[at])]
+            runs.append(np.zeros_like(run))
+            runs[-1][at] = run[at]
     return np.unique(np.concatenate([block.words, *(np.unique(r) for r in runs)])), runs
 
 
@@ -311,12 +392,13 @@ def answers(blocks: DataFrame, words: DataFrame, tree: DataFrame, maps: list[np.
                 block = Block(batch, i, shared.value)
                 keys, _ = _asked(block)
                 cuts = by_part(keys, parts).tolist()
-                rows = [(p, keys[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                rows = [(p, ascending(keys[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r[0] for r in rows], pa.int32()), pa.array([block.id] * n, pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
                     pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()),
                 ], names=names)
+        W.trim()
 
     def fold(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -332,9 +414,10 @@ def answers(blocks: DataFrame, words: DataFrame, tree: DataFrame, maps: list[np.
             for block, keys in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if block is None:
                     continue
-                keys = np.frombuffer(keys, dtype=np.uint64)
-                found = [_look_up(keys, all_words, all_counts, 0), _look_up(keys, runs, event, np.nan), _look_up(keys, runs, rest, np.nan)]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), b.column(0).slice(0, 1), *(pa.array([planes(x, k)], pa.binary()) for x, k in zip(found, ("<i8", "<f4", "<f4"), strict=True))], names=["block", "part", "counts", "events", "rests"])
+                keys = from_ascending(keys)
+                found = [(*_look_up(keys, all_words, [all_counts], 0), 0, "<i8"), *((x, np.nan, "<f4") for x in _look_up(keys, runs, [event, rest], np.nan))]
+                sent = [some(x, ~np.isnan(x) if np.isnan(none) else x != none, kind) for x, none, kind in found]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), b.column(0).slice(0, 1), *(pa.array([x], pa.binary()) for x in sent)], names=["block", "part", "counts", "events", "rests"])
 
     asked = blocks.mapInArrow(ask, schema)
     null = lambda kind: F.lit(None).cast(kind)
@@ -343,12 +426,14 @@ def answers(blocks: DataFrame, words: DataFrame, tree: DataFrame, maps: list[np.
     return _grouped(asked.unionByName(given).unionByName(values), fold, "block long, part int, counts binary, events binary, rests binary")
 
 
-def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
-    out = np.full(len(keys), default, dtype=values.dtype)
+def _look_up(keys: np.ndarray, known: np.ndarray, columns: list[np.ndarray], default: float) -> list[np.ndarray]:
+    """Of each column of the known keys' values those of keys."""
+    out = [np.full(len(keys), default, dtype=x.dtype) for x in columns]
     if len(known):
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         hit = known[at] == keys
-        out[hit] = values[at[hit]]
+        for found, values in zip(out, columns, strict=True):
+            found[hit] = values[at[hit]]
     return out
 
 
@@ -356,7 +441,7 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None, modulus: in
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix-tree")
     blocks = scratch.save(block_table(docs, modulus, rest), "blocks")
-    tokens = blocks.agg(F.sum(F.length("places") / 4)).first()[0] or 0
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     parts = PARTS
     while parts * PART_TOKENS < tokens:  # as many more as there are tokens, so that a part's tables stay as large
         parts *= 2
@@ -384,16 +469,19 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None, modulus: in
                 block = Block(batch, i, shared.value)
                 keys, runs = _asked(block)
                 found = sorted(batch.column(7)[i].as_py(), key=lambda r: r["part"])
-                counts, events, rests = (np.concatenate([from_planes(r[k], t) for r in found]) for k, t in (("counts", "<i8"), ("events", "<f4"), ("rests", "<f4")))
+                counts, events, rests = (np.concatenate([from_some(r[k], t, none) for r in found]) for k, t, none in (("counts", "<i8", 0), ("events", "<f4", np.nan), ("rests", "<f4", np.nan)))
                 place = np.searchsorted(keys, block.words)
                 c = counts[place][block.places]
                 base = np.log10(c + 1.0) - floor
                 log_p, context = base.copy(), rests[place][block.places]
                 for run in runs:  # from the shortest context to the longest
-                    at = np.searchsorted(keys, run)
-                    event, left = np.where(run > 0, events[at], np.nan), np.concatenate([[np.nan], context[:-1]])
+                    there = np.flatnonzero(run)
+                    at = np.searchsorted(keys, run[there])
+                    event, left = np.full(len(run), np.nan), np.concatenate([[np.nan], context[:-1]])
+                    event[there] = events[at]
                     log_p = np.where(np.isnan(event), np.where(np.isnan(left), log_p, left + log_p), event)
-                    context = np.where(run > 0, rests[at], np.nan)
+                    context = np.full(len(run), np.nan)
+                    context[there] = rests[at]
                 real = np.ones(len(c), dtype=bool)
                 real[block.starts] = False
                 sums = lambda x: np.add.reduceat(np.where(real, x, 0), block.starts)

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -110,6 +111,22 @@ def test_scores_are_those_of_a_brute_force_tree(spark):
     assert Counter((r["doc_id"], round(r["score"], 2)) for r in found) == want
 
 
+def test_blocks_ask_only_for_what_the_tree_holds(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(400))) for i in range(60)]
+    scratch = Scratch(spark, "t6f")
+    blocks = scratch.save(L.block_table(frame(spark, rows, False)), "blocks")
+    words = scratch.save(L.word_table(blocks, 4), "words")
+    tree, maps = L.tree_table(blocks, words, 20_000, 31, 4, scratch, min_count=8)
+    assert sorted(os.listdir(scratch.root.removeprefix("file://"))) == ["blocks", "tree", "words"]
+    held = {r["run"] for r in tree.collect()}
+    for batch in blocks.toArrow().to_batches():
+        for i in range(batch.num_rows):
+            block = L.Block(batch, i, maps)
+            keys, _ = L._asked(block)
+            assert set(keys.view("i8").tolist()) - set(block.words.view("i8").tolist()) <= held | {0}  # 0: no run
+
+
 def test_toxic_texts_are_told_on_held_out_rows(spark):
     rng = random.Random(2)
     plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
